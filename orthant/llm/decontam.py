@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import plain_columns
+from .storage import map_arrow, plain_columns
 from .textscan import Scan, blocks, mix, windows
 
 WORDS, THRESHOLD = 5, 0.8
@@ -160,7 +160,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        found = texts.mapInArrow(run, SCHEMA)
+        found = map_arrow(texts, run, SCHEMA)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], SCHEMA)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import plain_columns
+from .storage import map_arrow, plain_columns
 from .textscan import Scan, blocks, mix
 
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -169,4 +169,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 pred, score, rejected = own.predict(texts[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return plain_columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(plain_columns(docs, doc_id=id_col, text=text_col), run, SCHEMA)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import plain_columns
+from .storage import map_arrow, plain_columns
 from .textscan import Scan, blocks, mix, windows
 
 SYMBOLS = "#*$%&|<>"
@@ -117,7 +117,7 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
             for i, j, found in _judged(batch.column(1).to_pylist(), rules):
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, found.values())], names=["doc_id", *found])
 
-    return plain_columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(plain_columns(docs, doc_id=id_col, text=text_col), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -129,4 +129,4 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -
             for i, j, found in _judged(batch.column(at).to_pylist(), rules):
                 yield batch.slice(i, j - i).filter(pa.array(found["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, plain_columns, shared_dir
+from .storage import map_arrow, materialize, plain_columns, shared_dir
 from .textscan import blocks, mix
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_RUN = 4, 10, 256, 112
@@ -90,7 +90,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 n = np.arange(len(stop)) - np.repeat(np.cumsum(counts) - counts, counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], counts), pa.int64()), pa.array(n), pa.array(start.astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["doc_id", "n", "start", "size", "d1", "d2"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, CHUNK)
+    return map_arrow(docs.where("doc_id is not null"), run, CHUNK)
 
 
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
