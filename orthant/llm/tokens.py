@@ -8,7 +8,7 @@ second Arrow file beside it lists the shard's documents with their place in it.
 
 Ids are stored in the least unsigned type that holds the vocabulary. A word's ids don't depend on
 its neighbours in a vocabulary that drops white space, so ids of words that were seen are kept in a
-bounded cache; new words are encoded together by the tokenizers library.
+bounded cache; new words are encoded by the tokenizers library.
 
 Lost executors: a task writes under a name of its own attempt and moves the finished files to the
 shard's name; the table of finished shards is written to the shared folder, too, and rereading
@@ -21,24 +21,28 @@ looked at.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, plain_columns, shared_dir
+from .storage import map_arrow, materialize, plain_columns, shared_dir
 
 END_ID, SEQUENCE, SEQUENCES_A_BATCH = 2, 1024, 64
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
+#: Words that show whether the model alone, piece by piece, gives what the whole tokenizer gives.
+PROBES = ("The", "tokenization", "Zzyzxq", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "don't.", "a1b22,", "x@y.example!!", "[#*$%&|<>]", "~`^_-+=;:\"\\/?")
 SHARD = "shard long, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_SEPARATOR = "<|endoftext|>"
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -49,6 +53,21 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + (rest if rest.startswith("//") else f"//{rest}"))
 
 
+class WordIds(dict):
+    """Ids of words as bytes; a word that isn't there is found in the generation before or encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as bytes of ``dtype``."""
 
@@ -56,40 +75,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        self.dtype, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
         # Only if white space leaves no trace can words be encoded one by one.
-        self.by_word = self.separator is not None and self._ids("a b\nc  d") == sum(map(self._ids, "abcd"), [])
-        self.known: dict[str, bytes] = {"": b""}
+        self.by_word = self._ids("a b\nc  d") == sum(map(self._ids, "abcd"), [])
+        self.pattern = self._own_pattern()
+        self.known = WordIds(self._word, {})
+        if self.pattern and any(self._word(w) != self._bytes(self._ids(w)) for w in PROBES):
+            self.pattern = None
+        self.known = WordIds(self._word, {})
+
+    def _own_pattern(self) -> regex.Pattern | None:
+        """The tokenizer's pattern for pieces, if its steps are: NFC, lower case, split, bytes."""
+        steps = json.loads(self.tokenizer.to_str())
+        own = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
+        if not self.by_word or [x["type"] for x in own[0].get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in own[1].get("pretokenizers", [])] != ["Split", "ByteLevel"]:
+            return None
+        return regex.compile(own[1]["pretokenizers"][0]["pattern"]["Regex"])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for w in set(words) - set(plain):
-            self.known[w] = np.array(self._ids(w), self.dtype).tobytes()
-        if plain:
-            ids = np.array(self._ids(_SEPARATOR.join(plain)), self.dtype)
-            for w, part in zip(plain, np.split(ids, np.flatnonzero(ids == self.separator)), strict=True):
-                self.known[w] = part.tobytes()
-            skip = self.dtype.itemsize
-            for w in plain[1:]:
-                self.known[w] = self.known[w][skip:]
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Printable ASCII words go piece by piece through the model, where each byte stands for itself;
+        others, and those that may be special tokens, through the whole tokenizer."""
+        if not self.pattern or not word.isascii() or not word.isprintable() or "<|" in word or " " in word:
+            return self._bytes(self._ids(word))
+        low = word.lower()
+        if low.isalpha():
+            return self._bytes([t.id for t in self.model.tokenize(low)])
+        pieces = self.pattern.findall(low)
+        if len(pieces) == 1:
+            return self._bytes([t.id for t in self.model.tokenize(pieces[0])])
+        return b"".join([self.known[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
-            return np.array(self._ids(text), self.dtype).tobytes()
-        if text.isascii():
-            text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {"": b""}
-                new = [w for w in dict.fromkeys(words) if w]
-            self.learn(new)
+            return self._bytes(self._ids(text))
+        if len(self.known) > CACHED_WORDS:  # words of the generation before are kept if they come again
+            self.known.before = {}
+            self.known = WordIds(self._word, self.known)
+        words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -203,7 +233,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length:
         yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_docs": [len(n)], "n_tokens": [int(n.sum())]})
 
     ordered = plain_columns(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, SHARD), folder, "shards"), folder
+    return materialize(map_arrow(ordered, run, SHARD), folder, "shards"), folder
 
 
 def read_digests(shards: DataFrame, folder: str) -> DataFrame:
@@ -219,7 +249,8 @@ def read_digests(shards: DataFrame, folder: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(np.array(columns[1]) + offset), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("shard").mapInArrow(run, DIGEST)
+    # A fixed number of partitions: rows are few bytes here, and whole files to read.
+    return map_arrow(placed.repartition(max(1, shards.count()), "shard"), run, DIGEST)
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
