@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import plain_columns
+from .storage import materialize, plain_columns, shared_dir
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,6 +36,8 @@ def common_line_positions(docs: DataFrame, min_chars: int, min_docs: int) -> Dat
     key = F.translate("line", UPPER, LOWER)
     keyed = trimmed.select("doc_id", "row_hash", "pos", key.alias("key")).select("doc_id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     common = keyed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs).drop("n")
+    # Written, so that the join shuffles both sides anew and AQE can split the partition of a hot line.
+    common = materialize(common, shared_dir(docs.sparkSession), "common")
     lost = keyed.join(common, ["h1", "h2"]).where("doc_id <> holder")
     return lost.groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("drop"))
 
