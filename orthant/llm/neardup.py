@@ -10,12 +10,14 @@
    candidates. Within a bucket all are compared with its smallest member first (a star, linear
    in the bucket). Components of the verified links label the representatives.
 4. Buckets that still hold several labels are compared again, member against member where the labels
-   differ, in tiles of bounded size that give out only pairs whose signatures agree well
-   enough; these are verified too. So no link between members of a bucket is lost.
-5. Verification is exact: the Jaccard similarity of the shingle sets is 0.8 or more.
-
-Scale: texts are scanned once for signatures and only those of candidate pairs are read again;
-every table in between is written to the shared folder. Hot buckets, hot representatives and hot
+   differ, in tiles of bounded size that give out only verified links. So no link between
+   members of a bucket is lost, and no pair that isn't a link is ever a row.
+5. Verification is exact but for collisions of 32-bit hashes within two documents: the Jaccard
+   similarity of the shingle sets is 0.8 or more. Pairs whose signatures agree in so few registers
+   that a similar pair is four standard deviations away aren't looked at.
+
+Scale: texts are scanned for signatures, and once more, where they share a bucket, for their
+sets of shingles, which are all that is joined later. Every table in between is written to the shared folder. Hot buckets, hot representatives and hot
 classes meet only partial aggregation or joins that AQE may split.
 
 Cases: null, empty and wordless texts are classes by themselves. A text of one to four words is one
@@ -34,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize, plain_columns, shared_dir
+from .storage import map_arrow, materialize, plain_columns, shared_dir
 from .textscan import STEP, Scan, blocks, mix, shingles
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-REGISTERS = BANDS * ROWS
+#: More registers than the bands need: they make the estimate before verification sharper.
+REGISTERS = 2 * BANDS * ROWS
 #: Four standard deviations of the estimate below the threshold.
 LEAST_AGREEING = int(REGISTERS * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5))
 TILE = 512
@@ -90,7 +93,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 who = probminhash(h, count.astype(np.float64), doc, j - i)[some]
                 band = np.full((len(some), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
-                    band = mix(band * STEP + who[:, r::ROWS])
+                    band = mix(band * STEP + who[:, r : BANDS * ROWS : ROWS])
                 digests = [xxhash.xxh3_128_digest(h[cut[d] : cut[d + 1]]) for d in some]
                 fp = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 flat = pa.array(band.view(np.int64).ravel())
@@ -99,7 +102,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "fp_hi", "fp_lo", "bands", "sig"],
                 )
 
-    return docs.where("doc_id is not null").mapInArrow(run, SKETCH)
+    return map_arrow(docs.where("doc_id is not null"), run, SKETCH)
 
 
 def alike(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -112,44 +115,63 @@ def alike(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_AGREEING))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_arrow(both, run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles): the distinct shingles of the texts of reps, as sorted 32-bit hashes."""
+    # The list of ids has no bound, so it is never broadcast.
+    wanted = texts.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [t or "" for t in batch.column(1).to_pylist()]
+            for i, j in blocks(whole):
+                h, doc, _ = distinct_shingles(whole[i:j])
+                parts = np.split((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(doc, np.arange(1, j - i)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["rep", "shingles"])
+
+    return map_arrow(wanted, run, "rep long, shingles binary")
+
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of THRESHOLD or more."""
+    small, large = sorted((len(x), len(y)))
+    if small < THRESHOLD * large - 1e-9:
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared >= THRESHOLD * (len(both) - shared) - 1e-9
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
-    wanted = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    both = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that are similar."""
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for k in (2, 3):
-                own = batch.column(k).dictionary_encode()  # a centre's text is scanned once
-                whole, sets = own.dictionary.to_pylist(), []
-                for i, j in blocks(whole):
-                    h, doc, _ = distinct_shingles(whole[i:j])
-                    sets += np.split(h, np.searchsorted(doc, np.arange(1, j - i)))
-                sides.append((sets, own.indices.to_numpy()))
-            keep = []
-            for a, b in zip(sides[0][1], sides[1][1], strict=True):
-                x, y = sides[0][0][a], sides[1][0][b]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= THRESHOLD * (len(x) + len(y) - shared) - 1e-9)
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = [similar(np.frombuffer(u, np.uint32), np.frombuffer(v, np.uint32)) for u, v in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_arrow(both, run, "a long, b long")
+
 
+def rest_of_buckets(members: DataFrame, labels: DataFrame, sketch: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one bucket that have different labels, from buckets of several labels.
 
-def rest_of_buckets(members: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different labels whose signatures agree, from buckets of several labels.
-    A bucket of more than TILE members is dealt to pairs of tiles."""
-    labelled = members.join(labels.toDF("rep", "label"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+    Members are compared and verified where the bucket is, so that only links leave the task. A bucket
+    of more than TILE members is dealt to pairs of tiles. A pair is compared in the first band
+    that it shares, and not in the others.
+    """
+    labelled = members.join(labels.toDF("rep", "label"), "rep", "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    rows = labelled.join(mixed.select("bucket", "size"), "bucket").join(sketch.select("rep", "sig"), "rep")
+    rows = labelled.join(mixed.select("bucket", "size"), "bucket").join(sketch.select("rep", "sig"), "rep").join(sets, "rep")
     tiles = F.ceil(F.col("size") / TILE)
     own = F.pmod(F.xxhash64("rep"), tiles)
-    rows = rows.select("bucket", "rep", "label", "sig", own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "label", "sig")
+    rows = rows.select("bucket", "band", "rep", "label", "sig", "shingles", own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "label", "sig", "shingles", "band")
     dealt = rows.repartition("bucket", "t1", "t2").sortWithinPartitions("bucket", "t1", "t2")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -158,12 +180,17 @@ def rest_of_buckets(members: DataFrame, labels: DataFrame, sketch: DataFrame) ->
         right = left if t1 == t2 else [r for r in group if r[3] == t2]
         if not left or not right:
             return
-        sig = lambda rows: np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, REGISTERS)
-        y, names, ids = sig(right), np.array([r[5] for r in right]), np.array([r[4] for r in right])
-        for r, x in zip(left, sig(left), strict=True):
-            near = ((y == x).sum(1) >= LEAST_AGREEING) & (names != r[5]) & ((ids > r[4]) if t1 == t2 else True)
-            for other in ids[near].tolist():
-                yield max(r[4], other), min(r[4], other)
+        sigs = lambda rows: np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, REGISTERS)
+        y, names, ids, band = sigs(right), np.array([r[5] for r in right]), np.array([r[4] for r in right]), group[0][8]
+        for r, x in zip(left, sigs(left), strict=True):
+            same = y == x
+            near = (same.sum(1) >= LEAST_AGREEING) & (names != r[5]) & ((ids > r[4]) if t1 == t2 else True)
+            if band:
+                near &= ~same[:, : band * ROWS].reshape(len(y), band, ROWS).all(2).any(1)
+            mine = np.frombuffer(r[7], np.uint32)
+            for k in np.flatnonzero(near).tolist():
+                if similar(mine, np.frombuffer(right[k][7], np.uint32)):
+                    yield max(r[4], right[k][4]), min(r[4], right[k][4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -178,7 +205,7 @@ def rest_of_buckets(members: DataFrame, labels: DataFrame, sketch: DataFrame) ->
         if group:
             yield _pairs(set(compare(group)))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def _pairs(rows: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -186,27 +213,25 @@ def _pairs(rows: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) and class_size, one row for each id."""
+    """doc_id and class_id (the smallest doc_id of the class), one row for each id."""
     texts = plain_columns(docs, doc_id=id_col, text=text_col)
     folder = shared_dir(docs.sparkSession)
     sketch = materialize(sketches(texts), folder, "sketch")
     reps = materialize(sketch.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")), folder, "reps")
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).where("size > 1").drop("size")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "rep", "centre"), folder, "members")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "rep", "centre"), folder, "members")
+    one_each = texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(texts) else texts
+    sets = materialize(shingle_sets(one_each, members.select("rep").distinct()), folder, "sets")
     stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    one_each = texts.where("text is not null").dropDuplicates(["doc_id"]) if _repeats(texts) else texts
-    links = materialize(verified(alike(stars, reps), one_each), folder, "links")
+    links = materialize(verified(alike(stars, reps), sets), folder, "links")
     labels = components(links, folder, "first")
-    more = materialize(rest_of_buckets(members, labels, reps), folder, "more")
+    more = materialize(rest_of_buckets(members, labels, reps, sets), folder, "more")
     if not more.isEmpty():
-        late = materialize(verified(more, one_each), folder, "late")
-        labels = components(links.union(late), folder, "all")
+        labels = components(links.union(more), folder, "all")
     known = sketch.select("doc_id", "fp_hi", "fp_lo").join(reps.select("fp_hi", "fp_lo", "rep"), ["fp_hi", "fp_lo"])
     classed = known.join(labels.toDF("rep", "label"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("label"))
-    found = texts.select("doc_id").distinct().join(classed, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return found.join(sizes, "class_id", "left").select("doc_id", "class_id", "class_size")
+    return texts.select("doc_id").distinct().join(classed, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
 
 
 def _repeats(texts: DataFrame) -> bool:
