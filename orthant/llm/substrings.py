@@ -6,9 +6,10 @@ another one at most ``MIN_GAP`` bytes before it is left out. So cuts depend on n
 the bytes right before them, and are the same again soon after an insertion. Chunks longer than
 ``MAX_CHUNK`` are cut evenly.
 
-Chunks are deduplicated by a 128-bit digest: the first one (least doc_id, then position) is kept.
+Chunks are deduplicated by a 64-bit digest: the first one (least doc_id, then position) is kept.
 A run of neighbouring later copies is dropped if it has ``MIN_RUN`` bytes or more, so a common
-phrase or line in a clean document stays.
+phrase or line in a clean document stays (and so does a chunk whose digest collides by chance,
+unless its neighbours do as well).
 
 Scale: chunks are made once and written to the shared folder; digests are aggregated before the
 shuffle, so a passage in a third of all documents is a row for each task; the join back is an
@@ -32,7 +33,8 @@ from .storage import map_arrow, materialize, plain_columns, shared_dir
 from .textscan import blocks, mix
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_RUN = 4, 10, 256, 112
-CHUNK = "doc_id long, n long, start int, size int, d1 long, d2 long"
+#: place is the start times 2**16 plus the size, again whether the document has the chunk before.
+CHUNK = "doc_id long, digest long, place long, again boolean"
 #: 0xFF is in no UTF-8 text; with 0 for it, texts laid end to end don't reach into each other.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 GEAR[0xFF] = 0
@@ -72,7 +74,7 @@ def chunk_ends(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """CHUNK: the chunks of (doc_id, text), numbered by n."""
+    """CHUNK: the chunks of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +87,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                     continue
                 stop = np.concatenate(ends)
                 start = np.concatenate([np.append(0, e[:-1]) if len(e) else e for e in ends])
-                digests = b"".join([xxhash.xxh3_128_digest(t[a:b]) for t, e in zip(whole, ends, strict=True) for a, b in zip([0, *e[:-1].tolist()], e.tolist(), strict=False)])
-                d = np.frombuffer(digests, ">i8").reshape(-1, 2).astype(np.int64)
-                n = np.arange(len(stop)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i:j], counts), pa.int64()), pa.array(n), pa.array(start.astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["doc_id", "n", "start", "size", "d1", "d2"])
+                digest = np.fromiter((xxhash.xxh3_64_intdigest(t[a:b]) for t, e in zip(whole, ends, strict=True) for a, b in zip([0, *e[:-1].tolist()], e.tolist(), strict=False)), np.uint64, len(stop))
+                doc = np.repeat(np.arange(j - i), counts)
+                order = np.lexsort((start, digest, doc))
+                same = (np.diff(digest[order], prepend=np.uint64(0)) == 0) & (np.diff(doc[order], prepend=-1) == 0)
+                again = np.zeros(len(stop), bool)
+                again[order] = same
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc], pa.int64()), pa.array(digest.view(np.int64)), pa.array((start << 16) + stop - start), pa.array(again)], names=["doc_id", "digest", "place", "again"])
 
     return map_arrow(docs.where("doc_id is not null"), run, CHUNK)
 
@@ -102,21 +107,20 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_i
         texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
     folder = shared_dir(docs.sparkSession)
     cut = materialize(chunks(texts), folder, "chunks")
-    digest = ["d1", "d2"]
-    place = F.struct("doc_id", "n")
-    twice = cut.groupBy(*digest).agg(F.count("*").alias("copies"), F.min(place).alias("holder")).where("copies > 1").drop("copies")
-    copies = cut.select("doc_id", "n", "start", "size", *digest).join(twice, digest).drop(*digest)
-    run = F.col("n") - F.row_number().over(Window.partitionBy("doc_id", "later").orderBy("n"))
-    copies = copies.withColumn("later", F.col("holder") != F.struct("doc_id", "n")).withColumn("run", run)
-    runs = copies.groupBy("doc_id", "later", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.collect_set("holder.doc_id").alias("holders"))
+    twice = cut.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("holder")).where("copies > 1").drop("copies")
+    copies = cut.join(twice, "digest").select("doc_id", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(0xFFFF).alias("size"), "holder", (F.col("again") | (F.col("doc_id") > F.col("holder"))).alias("later"))
+    in_order = Window.partitionBy("doc_id", "later").orderBy("start")
+    follows = F.col("start") == F.lag(F.col("start") + F.col("size")).over(in_order)
+    numbered = copies.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(in_order))
+    runs = numbered.groupBy("doc_id", "later", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.collect_set("holder").alias("holders"))
     gone = F.col("later") & (F.col("size") >= min_run)
     found = runs.groupBy("doc_id").agg(
         F.sum("size").alias("n_shared"), F.sum(F.when(gone, F.col("size"))).alias("n_dropped"), F.sort_array(F.collect_list(F.when(gone, F.struct("start", "size")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list(F.when(gone, F.col("holders"))))).alias("holders"),
     )
-    counts = cut.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("size").alias("n_bytes"))
+    counts = cut.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.col("place").bitwiseAND(0xFFFF)).alias("n_bytes"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     all_docs = texts.select("doc_id").join(counts, "doc_id", "left").join(found, "doc_id", "left")
-    empty = F.expr("cast(array() as array<struct<start:int,size:bigint>>)")
+    empty = F.expr("cast(array() as array<struct<start:bigint,size:bigint>>)")
     others = F.array_sort(F.filter("holders", lambda h: h != F.col("doc_id")))
     return all_docs.select("doc_id", zero("n_bytes"), zero("n_chunks"), zero("n_shared"), zero("n_dropped"), F.coalesce("spans", empty).alias("spans"), F.coalesce(others, F.expr("cast(array() as array<bigint>)")).alias("kept_in"))
 
@@ -126,7 +130,7 @@ def drop_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id"
     spans = repeated_spans(docs, min_run, id_col, text_col).where("n_dropped > 0").select(F.col("doc_id").alias("id"), "spans")
     packed = docs.select(docs[id_col].alias("id"), F.encode(docs[text_col], "UTF-8").alias("bytes"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = packed.join(spans, "id", "left")
-    ends = F.concat(F.transform("spans", lambda s: s["start"].cast("long")), F.array(F.octet_length("bytes").cast("long")))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length("bytes").cast("long")))
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["start"] + s["size"]))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("bytes"), (a + 1).cast("int"), (b - a).cast("int")))
     kept = F.decode(F.aggregate(pieces, F.lit(b""), lambda x, y: F.concat(x, y)), "UTF-8")
