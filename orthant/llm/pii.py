@@ -161,10 +161,12 @@ def candidate(key: str, attempt: int) -> Column:
 
 def entity_map(entities: DataFrame, folder: str, key: str = KEY) -> DataFrame:
     """kind, canon, surrogate: one row for each distinct (kind, canon), injective in each kind."""
+    # Drawing is dear for the few bytes a row has: the partitions are fixed, not merged by size.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pending = materialize(entities.select("kind", "canon").distinct(), folder, "entities")
     real, given = pending, None
     for attempt in range(MAX_ATTEMPTS):
-        drawn = pending.select("kind", "canon", candidate(key, attempt).alias("surrogate"))
+        drawn = pending.repartition(parts, "kind", "canon").select("kind", "canon", candidate(key, attempt).alias("surrogate"))
         won = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).join(real.toDF("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         if given is not None:
             won = won.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
