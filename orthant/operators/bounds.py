@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ def pruned(bounds: DataFrame, k: int, scope: str = "both") -> DataFrame:
 
 def pruned_top_k(inst: DataFrame, bounds: DataFrame, dims: int, k: int, scope: str = "both") -> DataFrame:
     """Survivors are scored against all instances."""
+    bounds = bounds.persist(StorageLevel.MEMORY_AND_DISK)
     left = pruned(bounds, k, scope).where("survives")
     exact = scores(inst, dims, left.select(*KEY))
     return top_k(exact.join(bounds.select(*KEY, "lb", "ub"), KEY), k)

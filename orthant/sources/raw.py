@@ -120,9 +120,9 @@ def read_shapes(spark: SparkSession, path: str, widen: float = 1.0) -> DataFrame
     return raw.select(F.col("object_id").cast("long").alias("object_id"), (F.col("x0") - half("x0", "x1")).alias("mbr_lo0"), (F.col("y0") - half("y0", "y1")).alias("mbr_lo1"), (F.col("x1") + half("x0", "x1")).alias("mbr_hi0"), (F.col("y1") + half("y0", "y1")).alias("mbr_hi1"))
 
 
-def topics(name: str, override: str | None = None) -> dict[str, str]:
+def topics(name: str, override: str | None = None, prefix: str = "events") -> dict[str, str]:
     """MQTT and Kafka topics of a data set."""
-    return {"mqtt": f"thesis/raw/{name}", "kafka": override or f"thesis.raw.{name}"}
+    return {"mqtt": f"{prefix}/raw/{name}", "kafka": override or f"{prefix}.raw.{name}"}
 
 
 PROVIDERS: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic_events, "csv": read_csv, "intel": read_intel, "pump": read_pump, "gas": read_gas, "regions": region_objects, "smartphone": smartphone_objects, "shapes": read_shapes}

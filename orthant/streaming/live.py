@@ -83,8 +83,8 @@ def live_rankings(events: DataFrame, points: dict[str, list[float]], k: int = 10
             return
         for batch in batches:
             for r in batch.itertuples():
-                attrs = tuple(r.attributes) if r.attributes is not None else ()
-                window.apply(r.object_id, r.instance_id, int(r.millis), r.op_type, r.p, attrs)
+                attrs = tuple(map(float, r.attributes)) if r.attributes is not None else ()
+                window.apply(r.object_id, r.instance_id, int(r.millis), r.op_type, float(r.p), attrs)
                 if emit == "event":
                     out += [(key[0], int(r.millis), *row) for row in window.top(point, k)]
         if emit != "event":
