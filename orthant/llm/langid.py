@@ -39,6 +39,7 @@ class Params:
     orders: tuple[int, ...] = (2, 3, 4)
     per_lang: int = 700
     epochs: int = 6
+    least_steps: int = 1500
     rate: float = 0.5
     batch: int = 32
     window: int = 60
@@ -117,8 +118,9 @@ def fit(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
     emb = rng.normal(0, 0.3, (p.buckets, p.dim)).astype(np.float32)
     out = np.zeros((p.dim, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
-    for epoch in range(p.epochs):
-        rate = p.rate * (1 - epoch / p.epochs)
+    epochs = max(p.epochs, -(-p.least_steps * p.batch // max(1, len(train))))  # few examples are seen more often
+    for epoch in range(epochs):
+        rate = p.rate * (1 - epoch / epochs)
         order = rng.permutation(len(train))
         for s in range(0, len(order), p.batch):
             rows = [train[i] for i in order[s : s + p.batch]]

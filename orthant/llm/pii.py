@@ -83,7 +83,7 @@ def kind_of(raw: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         mine = raw.rlike(f"^(?:{pattern})$")
-        out = F.when(mine & is_card(raw), kind) if kind == "card" else F.when(mine, kind).otherwise(out)
+        out = F.when(mine & is_card(raw) if kind == "card" else mine, kind).otherwise(out)
     return out
 
 

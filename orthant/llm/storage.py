@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from orthant.shipping import ship
+
 LOCAL_FALLBACK = "/tmp/checkpoints/orthant"
 
 
@@ -35,24 +33,9 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def _ship(context: SparkContext) -> None:
-    """Give the executors' Python this package, once for each application."""
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp()) / f"{package.name}-source.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(target))
-        _shipped.add(context.applicationId)
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow`` for functions that use this package."""
-    _ship(df.sparkSession.sparkContext)
+    ship(df.sparkSession.sparkContext)
     return df.mapInArrow(run, schema)
 
 
