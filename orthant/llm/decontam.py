@@ -167,7 +167,21 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     return out.dropDuplicates()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark item."""
-    hit = contained_items(docs, items, threshold, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose texts hold no benchmark item. Each row is judged
+    where it is read, once for each block of items, so nothing is shuffled and ids may be null."""
+    at, spark = docs.columns.index(text_col), docs.sparkSession
+    for block in _item_blocks(plain_columns(items, item_id=item_id_col, text=item_text_col)):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            signed = Items(shared.value, threshold)
+            for batch in batches:
+                whole = [t or "" for t in batch.column(at).to_pylist()]
+                for i, j in blocks(whole):
+                    clean = np.ones(j - i, bool)
+                    clean[[d for d, *_ in signed.matches(whole[i:j])]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
+
+        docs = map_arrow(docs, run, docs.schema)
+    return docs

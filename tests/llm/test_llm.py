@@ -68,6 +68,8 @@ def test_edges_of_all(spark, edge, none):
     assert decontam.contained_items(edge, nothing).count() == decontam.contained_items(none, items).count() == 0
     hits = {(r.doc_id, r.item_id) for r in decontam.contained_items(edge, items).collect()}
     assert hits == {(10, 1), (4, 4), (9, None)}
+    assert Counter(r.doc_id for r in decontam.decontaminate(edge, items).collect()) == Counter(r[0] for r in EDGE if r[0] not in (4, 9, 10))
+    assert decontam.decontaminate(edge.withColumn("doc_id", F.lit(None).cast("long")), items).count() == len(EDGE) - 3
     for f in (quality.keep_good, neardup.drop_near_duplicates, mixing.mix, linededup.drop_common_lines, substrings.drop_repeats, lambda d: decontam.decontaminate(d, items)):
         assert f(edge).columns == edge.columns and f(none).columns == edge.columns and f(none).count() == 0
         assert f(edge).schema == edge.schema
