@@ -146,7 +146,7 @@ def live(where: str) -> str:
     return q(EVENTS, POINTS[2], f"last_one as (select * from happened where {where} qualify row_number() over (partition by object_id order by ts desc, event_id desc) = 1)", "alive as (select * from last_one where event_type <> 'error')", dist2("alive"), scored(), select=top())
 
 
-def oracle_sql() -> dict[str, str]:
+def sliced_sql() -> dict[str, str]:
     flat = "select query_id, object_id, n_inst, round(score, 6) as score from exact"
     return {
         "ptd_exact_topk": q(*BASE1, scored(), select=top()),
@@ -206,3 +206,21 @@ def oracle_sql() -> dict[str, str]:
         "default_query_points": "select 'q' || n_nationkey as query_id, round(least(1, greatest(0, 0.2e0 + n_nationkey * 0.15e0)), 9) as q0, round(least(1, greatest(0, 0.2e0 + n_nationkey * 0.15e0 + 0.05e0)), 9) as q1, round(least(1, greatest(0, 0.2e0 + n_nationkey * 0.15e0 + 0.1e0)), 9) as q2 from nation",
         "java_hash_partition": f"select c_custkey, {JAVA_HASH} as hash, ((({JAVA_HASH}) % 8 + 8) % 8)::int as part from customer",
     }
+
+
+#: What the SQL of whole_NAME leaves out of that of NAME.
+SLICE, THINNED = " where l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1998-04-01'", " where l_linenumber < 7"
+EMBEDDING_DIMS = 64
+
+
+def whole_sql() -> dict[str, str]:
+    found = {f"whole_{name}": sql.replace(SLICE, "").replace(THINNED, "") for name, sql in sliced_sql().items() if SLICE in sql}
+    # Means of many cents lie on the edge of nine digits, where the order of a sum would decide.
+    found["whole_object_mbr_mass"] = found["whole_object_mbr_mass"].replace("round(avg(a0), 9)", "round(round(avg(a0), 12)::decimal(18, 12), 9)::double").replace("round(avg(a1), 9)", "round(round(avg(a1), 12)::decimal(18, 12), 9)::double")
+    vectors = ", ".join(f"abs(embedding[{d + 1}]::double) as d{d}" for d in range(EMBEDDING_DIMS))
+    inst = f"inst as (select 'q0' as query_id, label::bigint as object_id, label % 4 as part, 1e0 / count(*) over (partition by label) as p, {vectors} from embeddings)"
+    return found | {"whole_ptd_embedding_topk": q(inst, scored(EMBEDDING_DIMS), select=top())}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sliced_sql() | whole_sql()

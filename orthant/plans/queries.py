@@ -4,11 +4,14 @@ U1: objects are parts, instances their line items shipped in the first quarter o
 attributes quantity/50 and price/100000 (and discount*10). Their distances are read several times by one
 plan and so persisted (a lost block is computed again). U2 hides every fifth second attribute.
 U3: objects are users, instances their events (certain). U4: objects are labels, instances embeddings.
+
+whole_NAME is NAME over all line items (audited without thinning), or over all components of the embeddings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +27,8 @@ from orthant.sources import generators as G
 from . import engine
 
 K, PARTS, HIDE = 10, 4, 5
+#: Whether plans are built over whole tables.
+WHOLE = ContextVar("whole", default=False)
 QUERY_POINTS = (("q0", 0.2, 0.25, 0.5), ("q1", 0.35, 0.4, 0.5))
 
 
@@ -36,7 +41,9 @@ def query_points(spark: SparkSession, n: int = 2) -> DataFrame:
 
 
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz '1998-01-01' and l_shipdate < timestamp_ntz '1998-04-01'")
+    items = table(spark, sf_dir, "lineitem")
+    if not WHOLE.get():
+        items = items.where("l_shipdate >= timestamp_ntz '1998-01-01' and l_shipdate < timestamp_ntz '1998-04-01'")
     share = F.lit(1.0) / F.count("*").over(Window.partitionBy("l_partkey"))
     return items.select(F.col("l_partkey").alias("object_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("instance_id"), share.alias("p"), (F.col("l_partkey") % PARTS).cast("int").alias("part"), (F.col("l_quantity") / 50.0).alias("a0"), (F.col("l_extendedprice") / 100000.0).alias("a1"), (F.col("l_discount") * 10.0).alias("a2"), "l_orderkey", "l_linenumber")
 
@@ -75,9 +82,11 @@ def ptd_grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ptd_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("object_id"), F.col("vec_id").cast("string").alias("instance_id"), (F.lit(1.0) / F.count("*").over(Window.partitionBy("label"))).alias("p"), (F.col("label") % PARTS).alias("part"), *[F.col("embedding")[d].cast("double").alias(f"a{d}") for d in range(3)])
-    point = spark.createDataFrame([("q0", 0.0, 0.0, 0.0)], "query_id string, q0 double, q1 double, q2 double")
-    return score.top_k(score.scores(with_distances(rows, point, 3), 3), K).select("query_id", "object_id", "n_inst", "score", "rank")
+    vectors = table(spark, sf_dir, "embeddings")
+    dims = (vectors.agg(F.max(F.size("embedding"))).first()[0] or 3) if WHOLE.get() else 3
+    rows = vectors.select(F.col("label").cast("long").alias("object_id"), F.col("vec_id").cast("string").alias("instance_id"), (F.lit(1.0) / F.count("*").over(Window.partitionBy("label"))).alias("p"), (F.col("label") % PARTS).alias("part"), *[F.col("embedding")[d].cast("double").alias(f"a{d}") for d in range(dims)])
+    point = spark.createDataFrame([("q0", *[0.0] * dims)], ", ".join(["query_id string", *[f"q{d} double" for d in range(dims)]]))
+    return score.top_k(score.scores(with_distances(rows, point, dims), dims), K).select("query_id", "object_id", "n_inst", "score", "rank")
 
 
 def dominance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +94,7 @@ def dominance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_mbr_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_summary(u1(spark, sf_dir), 2).select("object_id", "part", "n_inst", score.rounded("mass").alias("mass"), "lo0", "hi0", "lo1", "hi1", F.round("c0", 9).alias("c0"), F.round("c1", 9).alias("c1"))
+    return object_summary(u1(spark, sf_dir), 2).select("object_id", "part", "n_inst", score.rounded("mass").alias("mass"), "lo0", "hi0", "lo1", "hi1", *[F.round(F.round(c, 12), 9).alias(c) for c in ("c0", "c1")])
 
 
 def partition_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +102,9 @@ def partition_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probability_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thinned = d1(spark, sf_dir).where("l_linenumber < 7")
-    return probability_audit(thinned).withColumn("mass", score.rounded("mass"))
+    rows = d1(spark, sf_dir)
+    audited = rows if WHOLE.get() else rows.where("l_linenumber < 7")
+    return probability_audit(audited).withColumn("mass", score.rounded("mass"))
 
 
 def csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +294,21 @@ def java_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("c_custkey", string_hash(F.col("c_name")).alias("hash"), partition_of(F.lit(-1), F.col("c_name"), 8).alias("part"))
 
 
+def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f over whole tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = WHOLE.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            WHOLE.reset(before)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (ptd_exact_topk, ptd_multi_query_topk, ptd_ndim_topk, ptd_score_all_objects, ptd_grid_scores, ptd_embedding_topk, dominance_pairs, object_mbr_mass, partition_index_query, probability_audit_query, csv_profile, missing_profile, impute_rule_expand, synopsis_determinant_choice, synopsis_bucket_candidates, impute_synopsis_expand, imputation_mae_holdout, ptd_imputed_topk, bounds_no_mbr, kth_lower_bound_tau, dscp_survivors, dscp_topk, partition_scope_topk, object_traces, false_prune_audit, emission_counts_aer, certified_bounds_topk, proxy_candidate_topk, partitioned_candidate_precision, str_leaf_assignment, node_full_partial_mass, node_emission_counts, leaf_upper_bounds, export_level_cost, indexed_topk, centroid_skyline, hgtp_topk, treatment_matrix, latest_upsert_topk, window_live_topk, events_json_decode, default_query_points, java_hash_partition)
-    return {f.__name__.removesuffix("_query"): f for f in own}
+    sliced = {f.__name__.removesuffix("_query"): f for f in own}
+    uncut = (latest_upsert_topk, window_live_topk, events_json_decode, default_query_points, java_hash_partition)
+    return sliced | {f"whole_{name}": whole(f) for name, f in sliced.items() if f not in uncut}
