@@ -163,15 +163,15 @@ def rest_of_buckets(members: DataFrame, labels: DataFrame, sketch: DataFrame, se
 
     Members are compared and verified where the bucket is, so that only links leave the task. A bucket
     of more than TILE members is dealt to pairs of tiles. A pair is compared in the first band
-    that it shares, and not in the others.
+    that it shares by its whole hash, and not in the others.
     """
     labelled = members.join(labels.toDF("rep", "label"), "rep", "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    rows = labelled.join(mixed.select("bucket", "size"), "bucket").join(sketch.select("rep", "sig"), "rep").join(sets, "rep")
+    rows = labelled.join(mixed.select("bucket", "size"), "bucket").join(sketch.select("rep", "sig", "bands"), "rep").join(sets, "rep")
     tiles = F.ceil(F.col("size") / TILE)
     own = F.pmod(F.xxhash64("rep"), tiles)
-    rows = rows.select("bucket", "band", "rep", "label", "sig", "shingles", own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "label", "sig", "shingles", "band")
+    rows = rows.select("bucket", "band", "rep", "label", "sig", "shingles", F.slice("bands", F.lit(1), F.col("band")).alias("earlier"), own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "label", "sig", "shingles", "earlier")
     dealt = rows.repartition("bucket", "t1", "t2").sortWithinPartitions("bucket", "t1", "t2")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -181,12 +181,10 @@ def rest_of_buckets(members: DataFrame, labels: DataFrame, sketch: DataFrame, se
         if not left or not right:
             return
         sigs = lambda rows: np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, REGISTERS)
-        y, names, ids, band = sigs(right), np.array([r[5] for r in right]), np.array([r[4] for r in right]), group[0][8]
+        y, names, ids, earlier = sigs(right), np.array([r[5] for r in right]), np.array([r[4] for r in right]), np.array([r[8] for r in right], np.int64)
         for r, x in zip(left, sigs(left), strict=True):
-            same = y == x
-            near = (same.sum(1) >= LEAST_AGREEING) & (names != r[5]) & ((ids > r[4]) if t1 == t2 else True)
-            if band:
-                near &= ~same[:, : band * ROWS].reshape(len(y), band, ROWS).all(2).any(1)
+            near = ((y == x).sum(1) >= LEAST_AGREEING) & (names != r[5]) & ((ids > r[4]) if t1 == t2 else True)
+            near &= ~(earlier == np.array(r[8], np.int64)).any(1)
             mine = np.frombuffer(r[7], np.uint32)
             for k in np.flatnonzero(near).tolist():
                 if similar(mine, np.frombuffer(right[k][7], np.uint32)):

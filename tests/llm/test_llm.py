@@ -172,6 +172,17 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     assert got == {0}
 
 
+def test_a_collision_of_bytes_in_an_earlier_band_loses_no_link(spark):
+    """Members 2 and 3 share band 1; in band 0 only the bytes of their signatures agree."""
+    sig, same = bytes(neardup.REGISTERS), np.arange(50, dtype=np.uint32).tobytes()
+    other = np.arange(1000, 1050, dtype=np.uint32).tobytes()
+    sketch = spark.createDataFrame([(i, [i, 7, *range(100 * i, 100 * i + neardup.BANDS - 2)], sig) for i in (1, 2, 3)], "rep long, bands array<long>, sig binary")
+    sets = spark.createDataFrame([(1, other), (2, same), (3, same)], "rep long, shingles binary")
+    members = spark.createDataFrame([(7, 1, i, 1) for i in (1, 2, 3)], "bucket long, band int, rep long, centre long")
+    none = spark.createDataFrame([], "node long, label long")
+    assert [tuple(r) for r in neardup.rest_of_buckets(members, none, sketch, sets).collect()] == [(3, 2)]
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(6)
     x, y = rng.integers(1, 5, 300).astype(float), rng.integers(1, 5, 300).astype(float)
