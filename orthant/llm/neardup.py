@@ -1,9 +1,9 @@
 """Near-duplicate detection: ProbMinHash signatures, banding, verification, components.
 
-1. A text's five-word shingles are weighted by how often it has them. Each shingle is a Poisson
-   process whose rate is its weight; its arrivals fall on random registers, each register keeps
-   the earliest, and a shingle's process ends once it is later than all registers (early
-   termination). Two texts agree in a register with their probability Jaccard similarity.
+1. A text's distinct five-word shingles all have the weight 1, as in the verified similarity. Each
+   shingle is a Poisson process whose rate is its weight; its arrivals fall on random registers, each
+   register keeps the earliest, and a shingle's process ends once it is later than all registers (early
+   termination). Two texts agree in a register with the Jaccard similarity of their sets.
 2. Texts with the same set of shingles are one class at once (a group of copies is never
    expanded); the rest works on one representative of each.
 3. ``BANDS`` bands of ``ROWS`` registers are hashed; representatives that share a band are
@@ -71,13 +71,13 @@ def probminhash(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int,
     return who.reshape(n_docs, m)
 
 
-def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and count of each distinct shingle of each document, in order."""
+def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each distinct shingle of each document, in order."""
     h, doc = shingles(Scan(texts, alnum=True), WORDS)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.flatnonzero((np.diff(h, prepend=np.uint64(0)) != 0) | (np.diff(doc, prepend=-1) != 0))
-    return h[new], doc[new], np.diff(np.append(new, len(h)))
+    return h[new], doc[new]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -87,10 +87,10 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in blocks(texts):
-                h, doc, count = distinct_shingles(texts[i:j])
+                h, doc = distinct_shingles(texts[i:j])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 some = np.flatnonzero(np.diff(cut))
-                who = probminhash(h, count.astype(np.float64), doc, j - i)[some]
+                who = probminhash(h, np.ones(len(h)), doc, j - i)[some]
                 band = np.full((len(some), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     band = mix(band * STEP + who[:, r : BANDS * ROWS : ROWS])
@@ -127,7 +127,7 @@ def shingle_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             whole = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in blocks(whole):
-                h, doc, _ = distinct_shingles(whole[i:j])
+                h, doc = distinct_shingles(whole[i:j])
                 parts = np.split((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(doc, np.arange(1, j - i)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["rep", "shingles"])
 

@@ -183,6 +183,15 @@ def test_a_collision_of_bytes_in_an_earlier_band_loses_no_link(spark):
     assert [tuple(r) for r in neardup.rest_of_buckets(members, none, sketch, sets).collect()] == [(3, 2)]
 
 
+def test_repeats_within_a_text_lose_no_link(spark):
+    """Sets of a similarity of 0.8 or more are linked however often a text repeats its shingles."""
+    base, line = prose(70, 300).split(), prose(71, 12)
+    texts = [" ".join([*base, *[line] * 3]), " ".join([*base[:150], "changed", *base[151:], *[line] * 40])]
+    sets = [decontam.shingle_set(decontam.word_list(t), 5) for t in texts]
+    assert all(len(sets[0] & s) >= 0.9 * len(sets[0] | s) for s in sets)
+    assert {r.class_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()} == {0}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(6)
     x, y = rng.integers(1, 5, 300).astype(float), rng.integers(1, 5, 300).astype(float)
