@@ -1,7 +1,7 @@
 """Surrogates for personal data. DataFrame functions only.
 
 Detected: e-mail and IPv4 addresses, payment cards (13 to 19 digits, a card network's first digits and
-a valid Luhn sum), phone numbers, secrets after a key word, and persons after a title. Every entity
+a valid Luhn sum; inside a longer run of digits in a usual layout), phone numbers, secrets after a key word, and persons after a title. Every entity
 is replaced by an invented one of its kind: keyed (SHA-256 with a secret key), the same wherever
 the entity occurs (coreference; "Mrs Ann Smith" and "Mrs Smith" share the family name), in the
 entity's own layout: digits, case and signs stay where they are, cards keep network digit and
@@ -21,8 +21,6 @@ columns are never looked at by ``surrogates``. ``MAX_ATTEMPTS`` refused draws ra
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +39,16 @@ CYRILLIC = ("ба", "бе", "бо", "да", "де", "до", "фа", "фе", "г
 
 NAME = r"\p{Lu}[\p{L}'’-]+"
 TITLE = r"(?:" + "|".join(sorted((*MALE, *FEMALE), key=lambda t: (-len(t), t))) + r")\.?"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+#: Where digits after a card's are something else: a phone number or an address.
+ELSE = rf"(?!\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!\d)|(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))"
 PATTERNS = {
     "secret": r"(?i:(?<![\p{L}\p{N}])(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_=-]{16,}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.[\p{L}]{2,}",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<![\p{L}\p{N}.])[2-6]\d(?:[ -]?\d){11,17}(?![\p{N}])",
+    "ip": r"(?<![\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)",
+    "phone": r"(?<![\p{L}\p{N}+])" + PHONE,
+    "card": r"(?<![\p{L}\p{N}.])[2-6]\d(?:[ -]?\d){11}\d*+(?![\p{N}])(?:[ -]" + ELSE + r"\d++(?![\p{N}])){0,1000}+",
     "person": r"(?<![\p{L}])" + TITLE + r" " + NAME + r"(?: " + NAME + r")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -54,7 +56,11 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[@\d]|(?<![\p{L}])" + TITLE + r" \p{Lu}|(?i:api.?key|access.?key|secret|token|passw|pwd)"
 KINDS = tuple(PATTERNS)
 #: What makes a number a card: first digits of a network.
-NETWORK = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"
+NETWORK = r"^(?:4|5[1-5]|2[2-7]|3[04-9]|6)"
+#: How a card is written inside a run of digits, the longest first; a whole run, its start and what follows
+#: a card may have any groups.
+LAYOUTS = tuple(rf"^({x})(?!\d)" for x in (r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{13,19}"))
+ANY_GROUPS = r"^(\d(?:[ -]?\d){12,18})(?!\d)"
 
 
 def digits_of(s: Column) -> Column:
@@ -87,6 +93,47 @@ def kind_of(raw: Column) -> Column:
     return out
 
 
+def cards_in(run: Column) -> Column:
+    """A run of digits cut into (before, raw): its cards, each with what lies before it, and what is left
+    at the end with an empty raw. At each group the first layout that holds a card is taken."""
+    piece = "array<struct<before:string,raw:string>>"
+
+    def step(acc: Column, _: Column) -> Column:
+        rest = acc["rest"]
+        tried = [F.regexp_extract(rest, x, 1) for x in LAYOUTS]
+        tried.append(F.when(F.length(acc["before"]) < 2, F.regexp_extract(rest, ANY_GROUPS, 1)).otherwise(""))
+        found = F.array_join(F.slice(F.filter(F.array(*tried), is_card), 1, 1), "")
+        group = F.regexp_extract(rest, r"^\d*[ -]?", 0)
+        after = F.substring(rest, F.length(found) + 1, F.length(rest))
+        gap = F.regexp_extract(after, "^[ -]", 0)
+        hit = F.struct(
+            F.substring(after, F.length(gap) + 1, F.length(after)).alias("rest"), gap.alias("before"),
+            F.concat(acc["out"], F.array(F.struct(acc["before"].alias("before"), found.alias("raw")))).alias("out"),
+        )
+        miss = F.struct(F.substring(rest, F.length(group) + 1, F.length(rest)).alias("rest"), F.concat(acc["before"], group).alias("before"), acc["out"].alias("out"))
+        return F.when(F.length(found) > 0, hit).otherwise(miss)
+
+    start = F.struct(run.alias("rest"), F.lit("").alias("before"), F.array().cast(piece).alias("out"))
+    end = lambda acc: F.concat(acc["out"], F.array(F.struct(F.concat(acc["before"], acc["rest"]).alias("before"), F.lit("").alias("raw"))))
+    cut = F.aggregate(F.split(run, "[ -]"), start, step, end)
+    return F.when(is_card(run), F.array(F.struct(F.lit("").alias("before"), run.alias("raw")))).otherwise(cut)
+
+
+def entities_in(text: Column) -> Column:
+    """The matches of a text, a run of digits without a kind as its pieces: (before, raw, kind), where
+    before is the text since the last one. What follows the last match isn't in it."""
+    raws, between = F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.split(text, ANY, -1)
+    run = f"^(?:{PATTERNS['card']})$"
+
+    def pieces(raw: Column, before: Column) -> Column:
+        kind = kind_of(raw)
+        one = F.array(F.struct(before.alias("before"), raw.alias("raw"), kind.alias("kind")))
+        many = F.transform(cards_in(raw), lambda p, i: F.struct(F.when(i == 0, F.concat(before, p["before"])).otherwise(p["before"]).alias("before"), p["raw"].alias("raw"), F.when(p["raw"] != "", "card").alias("kind")))
+        return F.when(kind.isNull() & raw.rlike(run), many).otherwise(one)
+
+    return F.flatten(F.zip_with(raws, F.slice(between, F.lit(1), F.size(raws)), pieces))
+
+
 def draw(key: str, kind: Column, canon: Column, attempt: int) -> Column:
     """128 hexadecimal digits that depend on the key, the entity and the attempt."""
     inner = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt))), 256)
@@ -213,19 +260,18 @@ def surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col
     """doc_id, text with surrogates, and the number of entities of each kind, for each row."""
     own = plain_columns(docs, doc_id=id_col, text=text_col)
     folder = shared_dir(docs.sparkSession)
-    found = own.where(F.col("text").rlike(HINT)).select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("raws")).where(F.size("raws") > 0)
-    kinds = found.select("doc_id", "text", F.transform("raws", lambda r: F.struct(r.alias("raw"), kind_of(r).alias("kind"))).alias("all"))
-    hit = materialize(kinds.where(F.exists("all", lambda e: e["kind"].isNotNull())).withColumn("text_hash", F.xxhash64("text")), folder, "hit")
+    found = own.where(F.col("text").rlike(HINT)).select("doc_id", "text", entities_in(F.col("text")).alias("all")).where(F.size("all") > 0)
+    hit = materialize(found.where(F.exists("all", lambda e: e["kind"].isNotNull())).withColumn("text_hash", F.xxhash64("text")), folder, "hit")
     each = hit.select("doc_id", "text_hash", F.posexplode("all").alias("at", "e")).where("e.kind is not null")
     parts = each.select("doc_id", "text_hash", "at", F.posexplode(parts_of(F.col("e.raw"), F.col("e.kind"))).alias("nth", "p")).select("doc_id", "text_hash", "at", "nth", "p.*").distinct()
     given = entity_map(parts, folder, key)
     shown = F.concat("before", laid_out(F.col("surrogate"), F.col("shown"), F.col("kind")))
     new = parts.join(given, ["kind", "canon"]).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("at", "nth", shown.alias("out")))).alias("new"))
-    between = F.split("text", ANY, -1)
+    last = F.element_at(F.split("text", ANY, -1), -1)
     replaced = F.transform("all", lambda e, i: F.when(e["kind"].isNull(), e["raw"]).otherwise(F.array_join(F.transform(F.filter("new", lambda x: x["at"] == i), lambda x: x["out"]), "")))
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(replaced, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    joined = F.concat(F.array_join(F.zip_with("all", replaced, lambda e, b: F.concat(e["before"], b)), ""), last)
     count = lambda k: F.size(F.filter("all", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
     done = hit.alias("h").join(new.alias("n"), F.expr("h.doc_id <=> n.doc_id and h.text_hash = n.text_hash")).select("h.doc_id", joined.alias("text"), *map(count, KINDS))
-    is_hit = reduce(lambda a, b: a | b, [F.exists(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda r: kind_of(r).isNotNull())])
+    is_hit = F.exists(entities_in(F.col("text")), lambda e: e["kind"].isNotNull())
     rest = own.where(F.col("text").isNull() | ~F.col("text").rlike(HINT) | ~is_hit)
     return done.unionByName(rest.select("doc_id", "text", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS]))

@@ -262,6 +262,21 @@ def test_surrogates(spark):
     assert sorted((r.doc_id, r.text) for r in pii.surrogates(docs.repartition(5)).collect()) == sorted((i, r.text) for i, r in got.items())
 
 
+def test_cards_beside_other_digits(spark):
+    cards = ["4539 1488 0343 6467", "4539148803436467", "3530 1113 3330 0000", "3056 930902 5904", "3782 822463 10005", "4111-1111-1111-1111"]
+    frames = ["{}", "{} 12/27", "{} 124", "55 {} 12", "2026 {}", "on 2026-11-26 {} 4111 1111 1111 1111 99", "{} 555-123-4567", "{} 12.34.56.78 é", "{} " + "7 " * 3000]
+    texts = [f.format(c) for c in cards for f in frames]
+    got = {r.doc_id: r for r in pii.surrogates(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        card, f = cards[i // len(frames)], i % len(frames)
+        assert card not in got[i].text and got[i].n_card == (2 if f == 5 else 1), (t, got[i])
+        assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", t) or f == 7, (t[:60], got[i])
+        digits = [int(c) for c in re.sub(r"\D", "", t)]
+        by_chance = sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(reversed(digits))) % 10 == 0
+        assert f != 2 or by_chance or got[i].text.endswith(" 124"), (t, got[i])
+        assert got[i].n_phone == (f == 6) and got[i].n_ip == (f == 7), (t, got[i])
+
+
 def test_surrogates_collide_never(spark, monkeypatch):
     """With few possible draws, distinct entities still get distinct surrogates, none of them real."""
     ents = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(200)], "kind string, canon string")
