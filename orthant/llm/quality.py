@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .storage import map_arrow, plain_columns
 from .textscan import Scan, blocks, mix, windows
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, dup_line_chars double, dup_ngram_chars double, kept boolean"
 
 
@@ -93,8 +93,8 @@ def judge(texts: list[str], rules: Rules = Rules()) -> dict[str, np.ndarray]:
             for line in text.split("\n"):
                 if line in seen:
                     n_dup[d] += 1
-                    dup_chars[d] += sum(map(len, line.split()))
-                elif line.strip(" \t\n\x0b\x0c\r"):
+                    dup_chars[d] += len(line) - sum(map(line.count, SPACES))
+                elif line.strip(SPACES):
                     seen.add(line)
     dup_share = dup_chars / np.maximum(word_chars, 1)
     base_failed = (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_words_pct * n_words)

@@ -1,36 +1,17 @@
-"""Shared folders: lineage is cut by tables written where every executor can read them."""
+"""Tables between steps, and passes over Arrow batches that use this package."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from orthant.shipping import ship
+from orthant.storage import materialize, shared_dir
 
-LOCAL_FALLBACK = "/tmp/checkpoints/orthant"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the session's ``spark.checkpoint.dir``.
-
-    The cluster names that folder; only where the setting is missing (tests on
-    one machine) a local one is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = LOCAL_FALLBACK
-    return f"{root.rstrip('/')}/orthant-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` below ``folder`` and read it again: later steps, and retries after a
-    lost executor, start from the files."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["map_arrow", "materialize", "plain_columns", "shared_dir", "text_hash"]
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -43,3 +24,8 @@ def plain_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named columns under fixed names, so that further columns of the
     caller (whatever they are called) can't clash with the operator's own."""
     return df.select(*[df[source].alias(name) for name, source in wanted.items()])
+
+
+def text_hash(text: Column) -> Column:
+    """With the id, what tells a document from another: rows of one id may have different texts."""
+    return F.xxhash64(text)

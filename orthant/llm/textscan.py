@@ -97,15 +97,15 @@ class Scan:
 
 
 def windows(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-word windows that lie in one document, and their first words."""
+    """Hashes of all n-word windows that lie in one document, and their first words. The hash rolls:
+    a window's polynomial is the difference of two prefix sums, whatever its length."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[:m] == doc[n - 1 :])
-    h = np.full(len(at), n, np.uint64)
-    for k in range(n):
-        h = h * STEP + words[at + k]
-    return mix(h), at
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * powers(INVERSE, len(words))[at] + np.uint64(n)), at
 
 
 def shingles(scan: Scan, n: int) -> tuple[np.ndarray, np.ndarray]:
