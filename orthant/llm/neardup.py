@@ -5,7 +5,7 @@
    register keeps the earliest, and a shingle's process ends once it is later than all registers (early
    termination). Two texts agree in a register with the Jaccard similarity of their sets.
 2. Texts with the same set of shingles are one class at once (a group of copies is never
-   expanded); the rest works on one representative of each.
+   expanded); the rest works on one representative of each set.
 3. ``BANDS`` bands of ``ROWS`` registers are hashed; representatives that share a band are
    candidates. Within a bucket all are compared with its smallest member first (a star, linear
    in the bucket). Components of the verified links label the representatives.
@@ -20,9 +20,11 @@ Scale: texts are scanned for signatures, and once more, where they share a bucke
 sets of shingles, which are all that is joined later. Every table in between is written to the shared folder. Hot buckets, hot representatives and hot
 classes meet only partial aggregation or joins that AQE may split.
 
-Cases: null, empty and wordless texts are classes by themselves. A text of one to four words is one
-shingle. Repeated rows fall in one class. Ties go to the smallest doc_id. A null doc_id is
-left out of the classes. Further columns are never looked at.
+Cases: a document is an id with a text: rows of one id with different texts are documents of their own,
+repeated rows (same id and text) are one, of which one row stays. Null, empty and wordless texts are
+classes by themselves. A text of one to four words is one shingle. The smallest doc_id names a class and
+stays (of several texts of that id the one of the least hash); a null id comes after all others.
+Further columns are never looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import map_arrow, materialize, plain_columns, shared_dir
+from .storage import map_arrow, materialize, plain_columns, shared_dir, text_hash
 from .textscan import STEP, Scan, blocks, mix, shingles
 
 WORDS, THRESHOLD = 5, 0.8
@@ -46,7 +48,9 @@ REGISTERS = 2 * BANDS * ROWS
 #: Four standard deviations of the estimate below the threshold.
 LEAST_AGREEING = int(REGISTERS * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5))
 TILE = 512
-SKETCH = "doc_id long, fp_hi long, fp_lo long, bands array<long>, sig binary"
+SKETCH = "doc_id long, doc_hash long, fp_hi long, fp_lo long, bands array<long>, sig binary"
+#: What a null id counts as.
+LAST_ID = 2**63 - 1
 _GOLD = 0x9E3779B97F4A7C15
 _SIDE = np.uint64(0xA0761D6478BD642F)
 
@@ -80,29 +84,30 @@ def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], doc[new]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """SKETCH of all documents with a word."""
+def sketches(texts: DataFrame) -> DataFrame:
+    """SKETCH of all documents (doc_id, doc_hash, text); without a word the rest is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in blocks(texts):
-                h, doc = distinct_shingles(texts[i:j])
+            whole = [t or "" for t in batch.column(2).to_pylist()]
+            for i, j in blocks(whole):
+                h, doc = distinct_shingles(whole[i:j])
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
-                some = np.flatnonzero(np.diff(cut))
-                who = probminhash(h, np.ones(len(h)), doc, j - i)[some]
-                band = np.full((len(some), BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
+                none = np.diff(cut) == 0
+                who = probminhash(h, np.ones(len(h)), doc, j - i)
+                band = np.full((j - i, BANDS), 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     band = mix(band * STEP + who[:, r : BANDS * ROWS : ROWS])
-                digests = [xxhash.xxh3_128_digest(h[cut[d] : cut[d + 1]]) for d in some]
+                digests = [xxhash.xxh3_128_digest(h[cut[d] : cut[d + 1]]) for d in range(j - i)]
                 fp = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                flat = pa.array(band.view(np.int64).ravel())
+                upto = pa.array(np.append(0, np.cumsum(np.where(none, 0, BANDS))).astype(np.int32), mask=np.append(none, False))
+                sigs = [None if x else y.tobytes() for x, y in zip(none, (mix(who) & np.uint64(255)).astype(np.uint8), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), flat), pa.array([x.tobytes() for x in (mix(who) & np.uint64(255)).astype(np.uint8)], pa.binary())],
-                    names=["doc_id", "fp_hi", "fp_lo", "bands", "sig"],
+                    [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(fp[:, 0], mask=none), pa.array(fp[:, 1], mask=none), pa.ListArray.from_arrays(upto, pa.array(band[~none].view(np.int64).ravel())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "doc_hash", "fp_hi", "fp_lo", "bands", "sig"],
                 )
 
-    return map_arrow(docs.where("doc_id is not null"), run, SKETCH)
+    return map_arrow(texts, run, SKETCH)
 
 
 def alike(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -119,17 +124,24 @@ def alike(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, shingles): the distinct shingles of the texts of reps, as sorted 32-bit hashes."""
-    # The list of ids has no bound, so it is never broadcast.
-    wanted = texts.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    """(rep, shingles): the distinct shingles of the texts of reps (rep, doc_id, doc_hash), as sorted 32-bit
+    hashes. Of neighbouring repeated rows the first is read; a set that comes twice does no harm."""
+    # The list of documents has no bound, so it is never broadcast.
+    wanted = texts.join(reps.hint("merge"), ["doc_id", "doc_hash"]).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            whole = [t or "" for t in batch.column(1).to_pylist()]
+            reps = batch.column(0).to_numpy()
+            new = np.diff(reps, prepend=reps[:1] - 1) != 0
+            new[:1] &= reps[:1] != last
+            last = reps[-1] if len(reps) else last
+            some = batch.filter(pa.array(new))
+            whole = [t or "" for t in some.column(1).to_pylist()]
             for i, j in blocks(whole):
                 h, doc = distinct_shingles(whole[i:j])
                 parts = np.split((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(doc, np.arange(1, j - i)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), pa.array([np.unique(x).tobytes() for x in parts], pa.binary())], names=["rep", "shingles"])
 
     return map_arrow(wanted, run, "rep long, shingles binary")
 
@@ -210,34 +222,54 @@ def _pairs(rows: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of the class), one row for each id."""
-    texts = plain_columns(docs, doc_id=id_col, text=text_col)
-    folder = shared_dir(docs.sparkSession)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    plain = plain_columns(docs, doc_id=id_col, text=text_col)
+    return plain.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), text_hash(F.col("text")).alias("doc_hash"), "text")
+
+
+def classes(texts: DataFrame) -> DataFrame:
+    """(doc_id, doc_hash, keep) for each row of (doc_id, doc_hash, text): keep is the document
+    struct(doc_id, doc_hash) that stands for the row's class."""
+    folder, document = shared_dir(texts.sparkSession), F.struct("doc_id", "doc_hash")
     sketch = materialize(sketches(texts), folder, "sketch")
-    reps = materialize(sketch.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")), folder, "reps")
+    some = sketch.where("sig is not null")
+    # Equal sets have equal bands and signatures. The number is that of the written row.
+    reps = some.groupBy("fp_hi", "fp_lo").agg(F.min(document).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), folder, "reps")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).where("size > 1").drop("size")
     members = materialize(banded.join(shared, "bucket").select("bucket", "band", "rep", "centre"), folder, "members")
-    one_each = texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(texts) else texts
-    sets = materialize(shingle_sets(one_each, members.select("rep").distinct()), folder, "sets")
+    wanted = reps.select("rep", "first.*").join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    sets = materialize(shingle_sets(texts, wanted), folder, "sets")
     stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    links = materialize(verified(alike(stars, reps), sets), folder, "links")
+    links = materialize(verified(alike(stars, reps), sets).distinct(), folder, "links")
     labels = components(links, folder, "first")
     more = materialize(rest_of_buckets(members, labels, reps, sets), folder, "more")
     if not more.isEmpty():
         labels = components(links.union(more), folder, "all")
-    known = sketch.select("doc_id", "fp_hi", "fp_lo").join(reps.select("fp_hi", "fp_lo", "rep"), ["fp_hi", "fp_lo"])
-    classed = known.join(labels.toDF("rep", "label"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("label"))
-    return texts.select("doc_id").distinct().join(classed, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+    linked = labels.toDF("rep", "label").join(reps.select("rep", "first"), "rep")
+    # Written, so that AQE can split the members of a large class.
+    least = materialize(linked.groupBy("label").agg(F.min("first").alias("keep")), folder, "least")
+    classed = reps.select("fp_hi", "fp_lo", "rep", "first").join(linked.join(least, "label").select("rep", "keep"), "rep", "left").select("fp_hi", "fp_lo", F.coalesce("keep", "first").alias("keep"))
+    classed = materialize(classed, folder, "classes")
+    by_set = some.select("doc_id", "doc_hash", "fp_hi", "fp_lo").join(classed, ["fp_hi", "fp_lo"]).select("doc_id", "doc_hash", "keep")
+    return by_set.union(sketch.where("sig is null").select("doc_id", "doc_hash", document.alias("keep")))
 
 
-def _repeats(texts: DataFrame) -> bool:
-    """Whether an id comes in several rows (then one of its texts stands for it)."""
-    return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of the class), one row for each document."""
+    found = classes(_texts(docs, id_col, text_col)).select("doc_id", "doc_hash", F.col("keep.doc_id").alias("class_id")).distinct()
+    return found.select(*[F.when(F.col(c) != LAST_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id")])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without those whose class has a smaller doc_id."""
-    drop = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    """One document of each class, with all its columns: that of the smallest doc_id. Of repeated rows one
+    stays, so rows are only moved if they are repeated or if the list of what goes is too long to broadcast."""
+    key = ["doc_id", "doc_hash"]
+    found = classes(_texts(docs, id_col, text_col)).select(*key, (F.col("keep") == F.struct(*key)).alias("stays"))
+    gone = found.groupBy(*key).agg(F.bool_and("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays")
+    gone = materialize(gone, shared_dir(docs.sparkSession), "gone")
+    packed = docs.select(F.coalesce(docs[id_col], F.lit(LAST_ID)).alias("doc_id"), text_hash(docs[text_col]).alias("doc_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    single = packed.join(gone, key, "left_anti")
+    repeated = packed.join(gone.where("stays"), key, "left_semi").dropDuplicates(key)
+    return single.union(repeated).select(*[F.col("row")[c].alias(c) for c in docs.columns])
