@@ -6,17 +6,20 @@ another one at most ``MIN_GAP`` bytes before it is left out. So cuts depend on n
 the bytes right before them, and are the same again soon after an insertion. Chunks longer than
 ``MAX_CHUNK`` are cut evenly.
 
-Chunks are deduplicated by a 64-bit digest: the first one (least doc_id, then position) is kept.
+A document is an id with a text: rows of one id with different texts are documents of their own.
+Chunks are deduplicated by a 64-bit digest: the document of the least id keeps its first one.
 A run of neighbouring later copies is dropped if it has ``MIN_RUN`` bytes or more, so a common
 phrase or line in a clean document stays (and so does a chunk whose digest collides by chance,
 unless its neighbours do as well).
 
 Scale: chunks are made once and written to the shared folder; digests are aggregated before the
-shuffle, so a passage in a third of all documents is a row for each task; the join back is an
-inner equi-join that AQE may split. Text is not shuffled to find the spans.
+shuffle, so a passage in a third of all documents is a row for each task. The table of shared
+digests is written, so the join back shuffles both sides anew and AQE can split the partition
+of a hot digest. Text is not shuffled to find the spans.
 
-Cases: offsets count UTF-8 bytes; a null or empty text has no chunk; repeated rows count as one
-document, read once; a null id is left out of the spans; further columns are never looked at.
+Cases: offsets count UTF-8 bytes; a null or empty text has no chunk; repeated rows (same id and text)
+are one document; different texts of the least id both keep what they share; a null id comes
+after all others; further columns are never looked at.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import map_arrow, materialize, plain_columns, shared_dir
+from .storage import map_arrow, materialize, plain_columns, shared_dir, text_hash
 from .textscan import blocks, mix
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_RUN = 4, 10, 256, 112
 #: place is the start times 2**16 plus the size, again whether the document has the chunk before.
-CHUNK = "doc_id long, digest long, place long, again boolean"
+CHUNK = "doc_id long, doc_hash long, digest long, place long, again boolean"
+#: What a null id counts as.
+LAST_ID = 2**63 - 1
 #: 0xFF is in no UTF-8 text; with 0 for it, texts laid end to end don't reach into each other.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 GEAR[0xFF] = 0
@@ -74,11 +79,11 @@ def chunk_ends(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """CHUNK: the chunks of (doc_id, text)."""
+    """CHUNK: the chunks of (doc_id, doc_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or "" for t in batch.column(1).to_pylist()]
+            (ids, hashes), texts = (batch.column(k).to_numpy() for k in (0, 1)), [t or "" for t in batch.column(2).to_pylist()]
             for i, j in blocks(texts):
                 whole = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
                 ends = chunk_ends(whole)
@@ -93,43 +98,53 @@ def chunks(docs: DataFrame) -> DataFrame:
                 same = (np.diff(digest[order], prepend=np.uint64(0)) == 0) & (np.diff(doc[order], prepend=-1) == 0)
                 again = np.zeros(len(stop), bool)
                 again[order] = same
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc], pa.int64()), pa.array(digest.view(np.int64)), pa.array((start << 16) + stop - start), pa.array(again)], names=["doc_id", "digest", "place", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(hashes[i:j][doc]), pa.array(digest.view(np.int64)), pa.array((start << 16) + stop - start), pa.array(again)], names=["doc_id", "doc_hash", "digest", "place", "again"])
 
-    return map_arrow(docs.where("doc_id is not null"), run, CHUNK)
+    return map_arrow(docs, run, CHUNK)
 
 
-def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document with an id: doc_id, n_bytes, n_chunks, n_shared (bytes of chunks that
-    occur elsewhere, too), n_dropped (bytes), spans (start and size of what is dropped, in order) and
-    kept_in (the other documents that keep it)."""
-    texts = plain_columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null")
-    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+def _spans(docs: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``repeated_spans`` and doc_hash, for each document, with LAST_ID for a null id."""
+    texts = plain_columns(docs, doc_id=id_col, text=text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), text_hash(F.col("text")).alias("doc_hash"), "text")
     folder = shared_dir(docs.sparkSession)
     cut = materialize(chunks(texts), folder, "chunks")
-    twice = cut.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("holder")).where("copies > 1").drop("copies")
-    copies = cut.join(twice, "digest").select("doc_id", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(0xFFFF).alias("size"), "holder", (F.col("again") | (F.col("doc_id") > F.col("holder"))).alias("later"))
-    in_order = Window.partitionBy("doc_id", "later").orderBy("start")
+    seen = cut.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.min("doc_hash").alias("lo"), F.max("doc_hash").alias("hi"), F.bool_or("again").alias("twice"))
+    shared = materialize(seen.where("holder <> last or lo <> hi or twice").select("digest", "holder"), folder, "shared")
+    later = (F.col("again") | (F.col("doc_id") > F.col("holder"))).alias("later")
+    found = cut.join(shared, "digest").select("doc_id", "doc_hash", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(0xFFFF).alias("size"), "holder", later)
+    document = ["doc_id", "doc_hash"]
+    # Repeated rows have the same chunks at the same places; the shuffle by document serves the windows as well.
+    copies = found.repartition(*document).dropDuplicates([*document, "start", "size", "holder", "later"])
+    in_order = Window.partitionBy(*document, "later").orderBy("start")
     follows = F.col("start") == F.lag(F.col("start") + F.col("size")).over(in_order)
     numbered = copies.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(in_order))
-    runs = numbered.groupBy("doc_id", "later", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.collect_set("holder").alias("holders"))
+    runs = numbered.groupBy(*document, "later", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.collect_set("holder").alias("holders"))
     gone = F.col("later") & (F.col("size") >= min_run)
-    found = runs.groupBy("doc_id").agg(
+    per_doc = runs.groupBy(*document).agg(
         F.sum("size").alias("n_shared"), F.sum(F.when(gone, F.col("size"))).alias("n_dropped"), F.sort_array(F.collect_list(F.when(gone, F.struct("start", "size")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list(F.when(gone, F.col("holders"))))).alias("holders"),
     )
-    counts = cut.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.col("place").bitwiseAND(0xFFFF)).alias("n_bytes"))
+    rows = F.count_if(F.shiftright("place", 16) == 0)  # each row of the document has one chunk at 0
+    counts = cut.groupBy(*document).agg((F.count("*") / rows).cast("long").alias("n_chunks"), (F.sum(F.col("place").bitwiseAND(0xFFFF)) / rows).cast("long").alias("n_bytes"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    all_docs = texts.select("doc_id").join(counts, "doc_id", "left").join(found, "doc_id", "left")
+    all_docs = texts.select(*document).distinct().join(counts, document, "left").join(per_doc, document, "left")
     empty = F.expr("cast(array() as array<struct<start:bigint,size:bigint>>)")
     others = F.array_sort(F.filter("holders", lambda h: h != F.col("doc_id")))
-    return all_docs.select("doc_id", zero("n_bytes"), zero("n_chunks"), zero("n_shared"), zero("n_dropped"), F.coalesce("spans", empty).alias("spans"), F.coalesce(others, F.expr("cast(array() as array<bigint>)")).alias("kept_in"))
+    return all_docs.select(*document, zero("n_bytes"), zero("n_chunks"), zero("n_shared"), zero("n_dropped"), F.coalesce("spans", empty).alias("spans"), F.coalesce(others, F.expr("cast(array() as array<bigint>)")).alias("kept_in"))
+
+
+def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_chunks, n_shared (bytes of chunks that
+    occur elsewhere, too), n_dropped (bytes), spans (start and size of what is dropped, in order) and
+    kept_in (the ids of other documents that keep it)."""
+    found = _spans(docs, min_run, id_col, text_col).drop("doc_hash")
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 
 
 def drop_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, their texts without the dropped spans."""
-    spans = repeated_spans(docs, min_run, id_col, text_col).where("n_dropped > 0").select(F.col("doc_id").alias("id"), "spans")
-    packed = docs.select(docs[id_col].alias("id"), F.encode(docs[text_col], "UTF-8").alias("bytes"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    joined = packed.join(spans, "id", "left")
+    spans = _spans(docs, min_run, id_col, text_col).where("n_dropped > 0").select("doc_id", "doc_hash", "spans")
+    packed = docs.select(F.coalesce(docs[id_col], F.lit(LAST_ID)).alias("doc_id"), text_hash(docs[text_col]).alias("doc_hash"), F.encode(docs[text_col], "UTF-8").alias("bytes"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = packed.join(spans, ["doc_id", "doc_hash"], "left")
     ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length("bytes").cast("long")))
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["start"] + s["size"]))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("bytes"), (a + 1).cast("int"), (b - a).cast("int")))
