@@ -7,15 +7,15 @@ the last sequence), so that sequence i of a memory-mapped file is a slice withou
 second Arrow file beside it lists the shard's documents with their place in it.
 
 Ids are stored in the least unsigned type that holds the vocabulary. A word's ids don't depend on
-its neighbours in a vocabulary that drops white space, so ids of words that were seen are kept in a
-bounded cache; new words are encoded by the tokenizers library.
+its neighbours in a tokenizer that drops white space, so ids of words that were seen are kept in a
+cache of bounded bytes; new words are encoded by the tokenizers library.
 
 Lost executors: a task writes under a name of its own attempt and moves the finished files to the
 shard's name; the table of finished shards is written to the shared folder, too, and rereading
 starts from that. Nothing is collected on the driver.
 
 Cases: a null or empty text has the end id only; rows that repeat an id are written one after the
-other, in order of text; a null id comes first; no rows give no shard; further columns are never
+other, in order of a hash of the text; a null id comes first; no rows give no shard; further columns are never
 looked at.
 """
 
@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import map_arrow, materialize, plain_columns, shared_dir
+from .storage import map_arrow, materialize, plain_columns, shared_dir, text_hash
 
 END_ID, SEQUENCE, SEQUENCES_A_BATCH = 2, 1024, 64
-CACHED_WORDS = 400_000
-#: Words that show whether the model alone, piece by piece, gives what the whole tokenizer gives.
-PROBES = ("The", "tokenization", "Zzyzxq", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "don't.", "a1b22,", "x@y.example!!", "[#*$%&|<>]", "~`^_-+=;:\"\\/?")
+CACHED_WORDS, CACHED_CHARS = 200_000, 64
+# Fixed value: the pattern of the pieces of the word tokenizers that are encoded by words.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SHARD = "shard long, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -54,13 +54,16 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class WordIds(dict):
-    """Ids of words as bytes; a word that isn't there is found in the generation before or encoded."""
+    """Ids of words as bytes; a word that isn't there is found in the generation before or encoded.
+    Words longer than ``CACHED_CHARS`` are encoded each time, so the cache's bytes are bounded."""
 
     def __init__(self, encode: Callable[[str], bytes], before: dict[str, bytes]):
         super().__init__({"": b""})
         self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > CACHED_CHARS:
+            return self.encode(word)
         ids = self.before.get(word)
         if ids is None:
             ids = self.encode(word)
@@ -69,7 +72,12 @@ class WordIds(dict):
 
 
 class Encoder:
-    """Ids of texts as bytes of ``dtype``."""
+    """Ids of texts as bytes of ``dtype``.
+
+    What a tokenizer declares decides how it is used. If it normalises by NFC, runs of white space to
+    one space and lower case, and keeps the matches of a pattern (none of which holds white space), then
+    nothing reaches over a space and words are encoded one by one. Any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,21 +86,24 @@ class Encoder:
         self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size()
         self.dtype, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
-        # Only if white space leaves no trace can words be encoded one by one.
-        self.by_word = self._ids("a b\nc  d") == sum(map(self._ids, "abcd"), [])
-        self.pattern = self._own_pattern()
-        self.known = WordIds(self._word, {})
-        if self.pattern and any(self._word(w) != self._bytes(self._ids(w)) for w in PROBES):
-            self.pattern = None
+        declared = json.loads(self.tokenizer.to_str())
+        self.pattern = self._pieces(declared)
+        self.special = tuple(t["content"] for t in declared["added_tokens"])
+        self.by_word = self.pattern is not None and not any(regex.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in declared["added_tokens"])
         self.known = WordIds(self._word, {})
 
-    def _own_pattern(self) -> regex.Pattern | None:
-        """The tokenizer's pattern for pieces, if its steps are: NFC, lower case, split, bytes."""
-        steps = json.loads(self.tokenizer.to_str())
-        own = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
-        if not self.by_word or [x["type"] for x in own[0].get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in own[1].get("pretokenizers", [])] != ["Split", "ByteLevel"]:
+    @staticmethod
+    def _pieces(declared: dict) -> regex.Pattern | None:
+        """The pattern of a tokenizer that declares the steps above."""
+        before, cut, model = declared["normalizer"] or {}, declared["pre_tokenizer"] or {}, declared["model"]
+        if declared["post_processor"] or declared["truncation"] or model.get("dropout") or model.get("continuing_subword_prefix") or model["type"] != "BPE":
+            return None
+        if before.get("normalizers") != [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]:
+            return None
+        steps = cut.get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"].get("Regex") != PIECE or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
             return None
-        return regex.compile(own[1]["pretokenizers"][0]["pattern"]["Regex"])
+        return regex.compile(PIECE)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -101,17 +112,14 @@ class Encoder:
         return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Printable ASCII words go piece by piece through the model, where each byte stands for itself;
-        others, and those that may be special tokens, through the whole tokenizer."""
-        if not self.pattern or not word.isascii() or not word.isprintable() or "<|" in word or " " in word:
+        """Printable ASCII words go piece by piece through the model, where each byte stands for itself
+        and lower case is all that normalising does; others, and those with a special token (which is sought
+        before the case is lowered), through the whole tokenizer."""
+        if not word.isascii() or not word.isprintable() or any(t in word for t in self.special):
             return self._bytes(self._ids(word))
         low = word.lower()
-        if low.isalpha():
-            return self._bytes([t.id for t in self.model.tokenize(low)])
-        pieces = self.pattern.findall(low)
-        if len(pieces) == 1:
-            return self._bytes([t.id for t in self.model.tokenize(pieces[0])])
-        return b"".join([self.known[p] for p in pieces])
+        pieces = [low] if low.isalpha() else self.pattern.findall(low)
+        return b"".join([self.known[p] if len(pieces) > 1 else self._bytes([t.id for t in self.model.tokenize(p)]) for p in pieces])
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
@@ -119,8 +127,7 @@ class Encoder:
         if len(self.known) > CACHED_WORDS:  # words of the generation before are kept if they come again
             self.known.before = {}
             self.known = WordIds(self._word, self.known)
-        words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache
@@ -232,7 +239,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, length:
             file_system.move(mine + end, final + end)
         yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_docs": [len(n)], "n_tokens": [int(n.sum())]})
 
-    ordered = plain_columns(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ties of an id are ordered by their texts' hashes, so that an id of many rows is many partitions.
+    rows = plain_columns(docs, doc_id=id_col, text=text_col).withColumn("tie", text_hash(F.col("text")))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return materialize(map_arrow(ordered, run, SHARD), folder, "shards"), folder
 
 
