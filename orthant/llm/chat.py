@@ -6,8 +6,9 @@ the hash of each prefix (in whatever order sums are taken, so windows and aggreg
 conversation whose whole hash is a proper prefix of a longer one is dropped by an anti-join, of
 equal conversations the smallest id stays, and the rest is rendered turn by turn.
 
-Scale: only hashes are windowed and joined; a first turn that many conversations share is one row
-after partial aggregation; texts move once, for conversations that stay.
+Scale: texts are shuffled once, by conversation, to order the turns; prefixes are told by hashes, and
+a first turn that many conversations share is one row after partial aggregation. A chat is one
+value, so the turns of one conversation meet in one task, where sorting them may spill.
 
 Cases: turns are ordered by turn, then role, then text; a null role or text counts as empty;
 repeated rows are turns of their own; rows of a null conversation are left out; further columns
@@ -24,12 +25,15 @@ from .storage import plain_columns
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_same of the conversations in (conv_id, turn, role, text) that stay."""
-    hashed = turns.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("k1"), F.xxhash64(F.lit("second"), "role", "text").alias("k2"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "k1", "k2")
-    numbered = hashed.select("conv_id", "k1", "k2", "role", "turn", F.row_number().over(order).alias("n"))
-    salted = numbered.select("conv_id", "n", F.xxhash64("n", "k1").alias("h1"), F.xxhash64("n", "k2").alias("h2"))
+def numbered(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, role, text): turns with their place. Both uses of it share one shuffle of the texts."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    return turns.select("conv_id", F.row_number().over(order).alias("n"), "role", "text")
+
+
+def maximal(placed: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_same of the conversations in (conv_id, n, role, text) that stay."""
+    salted = placed.select("conv_id", "n", F.xxhash64("n", "role", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "role", "n").alias("h2"))
     so_far = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rolled = salted.select("conv_id", "n", F.bit_xor("h1").over(so_far).alias("p1"), F.bit_xor("h2").over(so_far).alias("p2"), F.count("*").over(Window.partitionBy("conv_id")).alias("n_turns"))
     whole = rolled.where("n = n_turns").groupBy("n", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_same"))
@@ -42,10 +46,10 @@ def clean(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(OPEN), F.lit("<| im_start |>")), F.lit(CLOSE), F.lit("<| im_end |>"))
 
 
-def render(turns: DataFrame, system: str | None = None) -> DataFrame:
+def render(placed: DataFrame, system: str | None = None) -> DataFrame:
     """conv_id and its turns as one text."""
     piece = F.concat(F.lit(OPEN), clean(F.col("role")), F.lit("\n"), clean(F.col("text")), F.lit(CLOSE + "\n"))
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.xxhash64("role", "text").alias("k1"), F.xxhash64(F.lit("second"), "role", "text").alias("k2"), piece.alias("piece")))).alias("parts"))
+    rows = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", piece.alias("piece")))).alias("parts"))
     head = F.lit("" if system is None else f"{OPEN}system\n{system}{CLOSE}\n")
     return rows.select("conv_id", F.concat(head, F.array_join(F.transform("parts", lambda p: p["piece"]), "")).alias("chat"))
 
@@ -53,5 +57,6 @@ def render(turns: DataFrame, system: str | None = None) -> DataFrame:
 def format_chats(conversations: DataFrame, system: str | None = None, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, n_same (equal conversations, itself among them) and chat."""
     turns = plain_columns(conversations, conv_id=id_col, turn=turn_col, role=role_col, text=text_col).where("conv_id is not null").na.fill("", ["role", "text"])
-    stay = maximal(turns)
-    return stay.join(render(turns.join(stay.select("conv_id"), "conv_id", "left_semi"), system), "conv_id")
+    placed = numbered(turns)
+    stay = maximal(placed)
+    return stay.join(render(placed.join(stay.select("conv_id"), "conv_id", "left_semi"), system), "conv_id")

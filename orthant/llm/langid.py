@@ -3,9 +3,12 @@
 Character n-grams (2 to 4, with word edges, lower-cased) are hashed into buckets; a text is
 the average of its buckets' embeddings, and a linear layer with softmax gives the language. Both
 are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``Params.per_lang`` rows a language, chosen by hash), on whole texts and on short windows of
-them. A temperature, fitted on rows held back from the sample, calibrates the probabilities;
-below ``Params.reject_below`` a prediction is marked as rejected.
+(``Params.per_lang`` rows a language and ``Params.max_rows`` in all, chosen by hash; of a longer text a
+piece of ``Params.piece_chars`` at a place that depends on its hash), on those and on short windows of
+them. A temperature, fitted on rows held back from the sample, calibrates the probabilities. A
+prediction is marked as rejected below the limit under which ``Params.false_reject`` of the held-back
+examples fall, so about that share of texts in a known language is rejected;
+``Params.reject_below`` is the limit of models with too few examples to hold any back.
 
 Prediction reads nothing but the text. As the average and the layer are linear, they fold into
 one table of buckets x languages, which is all that is sent to the executors (bounded by
@@ -43,6 +46,9 @@ class Params:
     rate: float = 0.5
     batch: int = 32
     window: int = 60
+    piece_chars: int = 4000
+    max_rows: int = 50_000
+    false_reject: float = 0.01
     reject_below: float = 0.5
     seed: int = 7
 
@@ -75,8 +81,9 @@ def bags(texts: list[str], p: Params) -> list[np.ndarray]:
 
 
 class Model:
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, p: Params):
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, p: Params, limit: float | None = None):
         self.langs, self.table, self.bias, self.p = langs, table, bias, p
+        self.limit = p.reject_below if limit is None else limit
 
     def logits(self, bag: np.ndarray) -> np.ndarray:
         counts = np.bincount(bag, minlength=self.p.buckets).astype(np.float32)
@@ -92,7 +99,7 @@ class Model:
                     probs = softmax(self.logits(bag)[None, :].astype(np.float64))[0]
                     best = int(probs.argmax())
                     pred[d], score[d] = self.langs[best], probs[best]
-        return pred, score, score < self.p.reject_below
+        return pred, score, score < self.limit
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -144,24 +151,29 @@ def fit(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
         loss = lambda s: -np.log(softmax(z * s)[np.arange(len(y)), y] + 1e-12).mean()
         scale = min(np.geomspace(0.05, 20, 60), key=loss)
         model.table, model.bias = (model.table * scale).astype(np.float32), (bias * scale).astype(np.float32)
+        model.limit = float(np.quantile(softmax(z * scale).max(1), p.false_reject))
     return model
 
 
 def train_on(labelled: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most about ``p.per_lang`` rows of each language, chosen by a hash of the id."""
     rows = plain_columns(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
+    # One row for each language that is told apart.
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return fit([], [], p)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, p.per_lang / n)))])
+    each = min(p.per_lang, p.max_rows / len(counts))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(p.seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = sorted((r for r in rows.where(place < F.element_at(share, F.col("lang"))).collect()), key=lambda r: (str(r.id), r.text))
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - p.piece_chars, F.lit(0)) + 1) + 1
+    some = rows.where(place < F.element_at(share, F.col("lang"))).select("id", "lang", F.substring("text", at.cast("int"), F.lit(p.piece_chars)).alias("text"))
+    sample = sorted(some.collect(), key=lambda r: (str(r.id), r.text))
     return fit([r.text for r in sample], [r.lang for r in sample], p)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of SCHEMA for each document, from its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.bias, model.p))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.bias, model.p, model.limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)

@@ -39,14 +39,20 @@ def common_line_positions(docs: DataFrame, min_chars: int, min_docs: int) -> Dat
     # Written, so that the join shuffles both sides anew and AQE can split the partition of a hot line.
     common = materialize(common, shared_dir(docs.sparkSession), "common")
     lost = keyed.join(common, ["h1", "h2"]).where("doc_id <> holder")
-    return lost.groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("drop"))
+    return lost.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+
+
+def without(lines: Column, drop: Column) -> Column:
+    """``lines`` without the positions in ``drop`` (sorted), put together from the runs between them."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(drop, lambda i: i + 1))
+    return F.flatten(F.zip_with(starts, F.concat(drop, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
 def _decided(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(doc_id, row_hash, text) with the lines, and those kept."""
     drops = common_line_positions(docs, min_chars, min_docs)
-    joined = docs.join(drops, ["doc_id", "row_hash"], "left")
-    return joined.select("*", lines_of(F.col("text")).alias("lines")).select("*", F.filter("lines", lambda _, i: F.col("drop").isNull() | ~F.array_contains("drop", i)).alias("kept"))
+    joined = docs.join(drops, ["doc_id", "row_hash"], "left").withColumn("lines", lines_of(F.col("text")))
+    return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("drop"))))
 
 
 def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,6 +66,6 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """The documents with all their columns; the text is what stays of it."""
     packed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("row_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     drops = common_line_positions(packed.select("doc_id", "row_hash", "text"), min_chars, min_docs)
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("drop", i)), "\n")
+    kept = F.array_join(without(lines_of(F.col("text")), F.col("drop")), "\n")
     out = packed.join(drops, ["doc_id", "row_hash"], "left").select("row", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"))
     return out.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
