@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, plain_columns, shared_dir
+from .storage import materialize, plain_columns, shared_dir, text_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES, BLOCK_WORDS = 3, 32
@@ -119,17 +119,28 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, with all their columns, each as often as the mix takes it (its take over its
-    size, rounded; a document of no words once)."""
-    own = plain_columns(docs, doc_id=id_col, text=text_col, source=source_col).withColumn("text_hash", F.xxhash64("text"))
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    plan = _taken(own, block_words, ["text_hash"]).groupBy("doc_id", "text_hash").agg(F.sum(times).alias("times"), F.count("*").alias("rows"))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"))
-    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id")) if _any_repeats(plan) else F.lit(1)
-    joined = packed.withColumn("nth", nth).join(plan, F.expr("id <=> doc_id and hash = text_hash"))
-    share = F.expr("times div rows") + F.when(F.col("nth") <= F.expr("times % rows"), 1).otherwise(0)
-    return joined.select("row", F.explode(F.array_repeat(F.lit(0), share.cast("int")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
-
-
-def _any_repeats(plan: DataFrame) -> bool:
-    return not plan.where("rows > 1").isEmpty()
+    """The rows, with all their columns, as the mix takes them: the whole document as often as all of its
+    words are taken, and once more, if some are taken once more, a text of just those. A source's
+    first blocks are taken once more than its last ones, so that is the start of the one document at the
+    edge; every source comes out with exactly the words of its blocks. Documents of no words stay once.
+    Repeated rows (same id, text and source) are told apart by their place only, so their takes are added
+    and dealt as if they were one document."""
+    own = plain_columns(docs, doc_id=id_col, text=text_col, source=source_col).withColumn("text_hash", text_hash(F.col("text")))
+    key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), "text_hash", F.coalesce(F.xxhash64("source"), F.lit(0)).alias("k_source")]
+    taken = _taken(own.withColumn("row_source", F.col("source")), block_words, ["text_hash", "row_source"]).withColumnRenamed("row_source", "source")
+    plan = taken.select(*key, "size", "taken").groupBy("k_id", "k_null", "text_hash", "k_source").agg(F.min("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), text_hash(docs[text_col]).alias("text_hash"), docs[source_col].alias("source")).select("row", *key)
+    joined = packed.join(plan, ["k_id", "k_null", "text_hash", "k_source"])
+    return _emitted(joined, docs.columns, text_col)
+
+
+def _emitted(joined: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """Rows (row, size, taken, rows) as often as they are taken."""
+    each = F.col("taken") / F.col("rows")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(each / F.col("size"))).cast("int")
+    more = F.when(F.col("size") == 0, 0).otherwise(F.floor(each) - times * F.col("size")).cast("int")
+    text = F.col("row")[text_col]
+    # Each word with the white space before it, so that a part is laid out as the text is.
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), more), "")
+    texts = F.concat(F.array_repeat(text, times), F.when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    return joined.select("row", F.explode(texts).alias("text")).select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in columns])
