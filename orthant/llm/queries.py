@@ -22,15 +22,21 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of the session's surrogates. The one that stands in where none is set is public, so it serves
+    for synthetic tables only."""
+    return spark.conf.get("spark.orthant.surrogates.key", "synthetic-tables")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(read(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2  # null without an id: not learned from
     model = langid.train_on(docs.where(~held_out))
-    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(read(spark, sf_dir, "documents"))
+    return pii.surrogates(read(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
