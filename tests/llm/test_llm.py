@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orthant.llm import chat, decontam, langid, linededup, mixing, neardup, pii, quality, queries, substrings, textscan, tokens
+from orthant.llm import chat, decontam, langid, linededup, mixing, neardup, pii, quality, queries, storage, substrings, textscan, tokens
 from tests.compare import differs, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,7 +58,7 @@ def test_edges_of_all(spark, edge, none):
     model = langid.fit([r[1] for r in EDGE if r[1] and r[2]], [r[2] for r in EDGE if r[1] and r[2]])
     path = queries.tokenizer_path()
     run = {
-        "quality": lambda d: quality.quality(d), "langid": lambda d: langid.identify(d, model), "lines": lambda d: linededup.line_decisions(d), "tokens": lambda d: tokens.token_digests(d, path), "mix": lambda d: mixing.mixture(d), "pii": lambda d: pii.surrogates(d),
+        "quality": lambda d: quality.quality(d), "langid": lambda d: langid.identify(d, model), "lines": lambda d: linededup.line_decisions(d), "tokens": lambda d: tokens.token_digests(d, path), "mix": lambda d: mixing.mixture(d), "pii": lambda d: pii.surrogates(d, "k"),
     }
     for name, f in run.items():
         assert f(edge).count() == len(EDGE), name
@@ -247,7 +247,7 @@ def test_surrogates(spark):
         "Mrs. Ann Smith met Mr Smith and Frau Müller; г-н Иванов came", "nothing here: 12345 words, a@b", "",
     ]
     docs = docs_of(spark, texts)
-    got = {r.doc_id: r for r in pii.surrogates(docs).collect()}
+    got = {r.doc_id: r for r in pii.surrogates(docs, "k").collect()}
     assert [got[i].text for i in (5, 6)] == texts[5:] and "version 1.2.3.4.5" in got[2].text and "id 4539148803436468" in got[1].text
     for i, secret in ((0, "nn.lee@"), (0, "bob@"), (1, "555-0132"), (1, "0343 6467"), (2, "10.2.3.4,"), (3, "dfd1944d"), (4, "Ann Smith"), (4, "Müller"), (4, "Иванов")):
         assert secret.lower() not in got[i].text.lower()
@@ -259,14 +259,14 @@ def test_surrogates(spark):
     assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     names = re.fullmatch(r"Mrs\. (\w+na) (\w+) met Mr (\w+) and Frau (\w+); г-н (\w+) came", got[4].text)
     assert names and names[2] == names[3] != names[4] and re.fullmatch("[А-я]+", names[5])
-    assert sorted((r.doc_id, r.text) for r in pii.surrogates(docs.repartition(5)).collect()) == sorted((i, r.text) for i, r in got.items())
+    assert sorted((r.doc_id, r.text) for r in pii.surrogates(docs.repartition(5), "k").collect()) == sorted((i, r.text) for i, r in got.items())
 
 
 def test_cards_beside_other_digits(spark):
     cards = ["4539 1488 0343 6467", "4539148803436467", "3530 1113 3330 0000", "3056 930902 5904", "3782 822463 10005", "4111-1111-1111-1111"]
     frames = ["{}", "{} 12/27", "{} 124", "55 {} 12", "2026 {}", "on 2026-11-26 {} 4111 1111 1111 1111 99", "{} 555-123-4567", "{} 12.34.56.78 é", "{} " + "7 " * 3000]
     texts = [f.format(c) for c in cards for f in frames]
-    got = {r.doc_id: r for r in pii.surrogates(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r for r in pii.surrogates(docs_of(spark, texts), "k").collect()}
     for i, t in enumerate(texts):
         card, f = cards[i // len(frames)], i % len(frames)
         assert card not in got[i].text and got[i].n_card == (2 if f == 5 else 1), (t, got[i])
@@ -282,7 +282,7 @@ def test_surrogates_collide_never(spark, monkeypatch):
     ents = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(200)], "kind string, canon string")
     few = lambda key, attempt: F.concat(F.lit("1.1.1."), F.pmod(F.xxhash64("canon", F.lit(attempt)), F.lit(300 + 300 * attempt)).cast("string"))
     monkeypatch.setattr(pii, "candidate", few)
-    rows = pii.entity_map(ents, "/tmp/checkpoints/orthant/test-pii").collect()
+    rows = pii.entity_map(ents, storage.shared_dir(spark), "k").collect()
     real = {f"1.1.1.{i}" for i in range(200)}
     assert len({r.canon for r in rows}) == 200 == len({r.surrogate for r in rows}) and not real & {r.surrogate for r in rows}
 
@@ -333,14 +333,23 @@ def test_pipeline_stage_by_stage(spark):
     leaks = {r.doc_id for r in decontam.contained_items(once, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in once.collect()} - leaks
     mixed = step["source_mix"](spark, clean, FOLDER)
-    times = Counter(r.doc_id for r in mixed.collect())
-    assert times == Counter({r.doc_id: n for r in mixing.mixture(clean).collect() if (n := 1 if r.size == 0 else int(r.taken / r.size + 0.5))})
-    got = corpus_pipeline.run(spark, FOLDER).collect()
-    assert Counter(r.doc_id for r in got) == times
+    plan = mixing.mixture(clean).join(clean.select("doc_id", "source"), "doc_id").collect()
+    emitted, takes = Counter(), Counter()
+    source = {r.doc_id: r.source for r in plan}
+    for r in mixed.collect():
+        emitted[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    for r in plan:
+        takes[r.source] += r.taken
+    assert +emitted == +takes and mixed.columns == docs.columns and set(source) >= {r.doc_id for r in mixed.collect()}
+    targets = {r.source: r.target for r in plan}
+    assert all(abs(emitted[s] - t) <= max(0.03 * t, 2 * mixing.BLOCK_WORDS) for s, t in targets.items())
+    rows = sorted(((r.doc_id, r.text) for r in mixed.collect()), key=lambda r: r[0])
+    got = sorted(corpus_pipeline.run(spark, FOLDER).collect(), key=lambda r: r.start)
     encode = tokens.Encoder(queries.tokenizer_path())
-    text = {r.doc_id: r.text for r in docs.collect()}
-    start = 0
-    for r in sorted(got, key=lambda r: r.start):
-        ids = [*encode._ids(text[r.doc_id]), 2]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    crcs, start = Counter(), 0
+    for doc_id, t in rows:
+        crcs[doc_id, zlib.crc32(np.array([*encode._ids(t), 2], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == crcs and [r.doc_id for r in got] == [r[0] for r in rows]
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
