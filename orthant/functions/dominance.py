@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,11 @@ def dominates_arrays(a: Column, b: Column) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: x <= y), lambda z: z) & F.exists(F.zip_with(a, b, lambda x, y: x < y), lambda z: z)
 
 
+def register_sql(spark: SparkSession) -> None:
+    """``dominates(a, b)`` over arrays of doubles as a function of the session's SQL."""
+    spark.sql("create or replace temporary function dominates(a array<double>, b array<double>) returns boolean return forall(zip_with(a, b, (x, y) -> x <= y), z -> z) and exists(zip_with(a, b, (x, y) -> x < y), z -> z)")
+
+
 def string_hash(s: Column) -> Column:
     """The 32-bit polynomial hash of a string's UTF-16 units (base 31), for ids within the BMP."""
     wrap = lambda h: (h + F.lit(2**31)).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)

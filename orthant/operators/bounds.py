@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthant.functions.dominance import dominates
+from orthant.storage import materialize, shared_dir
 
+from . import plane
 from .score import dominated_mass, objects_of, rounded, scores, top_k
 
 KEY = ["query_id", "object_id"]
 
 
-def partition_bounds(inst: DataFrame, dims: int, method: str = "auto") -> DataFrame:
+def partition_bounds(inst: DataFrame, dims: int, method: str = "auto", candidates: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """Bounds without boxes: lb is the score within the own partition, ub adds the object's mass
-    times the mass of other partitions (once)."""
-    local = dominated_mass(inst, dims, ["query_id", "part"], method=method).withColumnRenamed("score", "lb")
+    times the mass of other partitions (once). The window runs over one row for each partition."""
+    local = dominated_mass(inst, dims, ["query_id", "part"], candidates, method, own).withColumnRenamed("score", "lb")
     masses = inst.groupBy("query_id", "part").agg(F.sum("p").alias("part_mass"))
     masses = masses.withColumn("all_mass", F.sum("part_mass").over(Window.partitionBy("query_id")))
-    found = objects_of(inst).join(local, KEY, "left").na.fill(0.0, ["lb"]).join(masses, ["query_id", "part"])
+    objects = objects_of(inst) if candidates is None else objects_of(inst).join(candidates, KEY, "left_semi")
+    found = objects.join(local, KEY, "left").na.fill(0.0, ["lb"]).join(masses, ["query_id", "part"])
     remote = F.col("all_mass") - F.col("part_mass")
     return found.select(*KEY, "part", "n_inst", "mass", rounded("lb").alias("lb"), rounded(F.col("lb") + F.col("mass") * remote).alias("ub"))
 
@@ -41,11 +43,11 @@ def pruned(bounds: DataFrame, k: int, scope: str = "both") -> DataFrame:
     return bounds.join(tau, ["query_id", "part"]).withColumn("survives", F.col("tau").isNull() | (F.col("ub") >= F.col("tau")))
 
 
-def pruned_top_k(inst: DataFrame, bounds: DataFrame, dims: int, k: int, scope: str = "both") -> DataFrame:
+def pruned_top_k(inst: DataFrame, bounds: DataFrame, dims: int, k: int, scope: str = "both", method: str = "auto", own: DataFrame | None = None) -> DataFrame:
     """Survivors are scored against all instances."""
-    bounds = bounds.persist(StorageLevel.MEMORY_AND_DISK)
+    bounds = materialize(bounds, shared_dir(inst.sparkSession), "bounds")
     left = pruned(bounds, k, scope).where("survives")
-    exact = scores(inst, dims, left.select(*KEY))
+    exact = scores(inst, dims, left.select(*KEY), method, own)
     return top_k(exact.join(bounds.select(*KEY, "lb", "ub"), KEY), k)
 
 
@@ -72,6 +74,12 @@ def emission_counts(inst: DataFrame, marked: DataFrame) -> DataFrame:
     return out.withColumn("aer", rounded(F.when(F.col("baseline_emissions") == 0, 0.0).otherwise(F.col("aes_emissions") / F.col("baseline_emissions"))))
 
 
+def treatment_emissions(inst: DataFrame, marked: DataFrame, packed: bool) -> DataFrame:
+    """Per query the records that a treatment emits for its survivors: packed (one for each instance) or not."""
+    counts = emission_counts(inst, marked)
+    return counts.select("query_id", (F.col("aes_emissions") if packed else F.col("baseline_emissions")).alias("emissions"))
+
+
 def emissions(inst: DataFrame, packed: bool) -> DataFrame:
     """The records themselves: an instance with its competitors (packed) or with each of them."""
     others = inst.select("query_id", "part", F.col("object_id").alias("competitor")).distinct()
@@ -82,8 +90,8 @@ def emissions(inst: DataFrame, packed: bool) -> DataFrame:
 def certified_bounds(inst: DataFrame, dims: int, k: int) -> DataFrame:
     """Bounds around the exact score by the best instance's probability; tau, and what it prunes."""
     best = inst.groupBy(*KEY).agg(F.max("p").alias("best"), F.sum("p").alias("mass"))
-    total = Window.partitionBy("query_id")
-    found = scores(inst, dims).join(best, KEY).withColumn("remaining", F.sum("mass").over(total) - F.col("mass"))
+    total = inst.groupBy("query_id").agg(F.sum("p").alias("total"))
+    found = scores(inst, dims).join(best, KEY).join(total, "query_id").withColumn("remaining", F.col("total") - F.col("mass"))
     found = found.select(*KEY, "n_inst", rounded("score").alias("score"), rounded(F.greatest(F.col("score") - F.col("best"), F.lit(0.0))).alias("lb"), rounded(F.least(F.col("remaining"), F.col("score") + F.col("best"))).alias("ub"))
     tau = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lb"), "object_id"))).where(F.col("r") == k).select("query_id", F.col("lb").alias("tau"))
     return found.join(tau, "query_id", "left").withColumn("survives", F.col("tau").isNull() | (F.col("ub") >= F.col("tau")))
@@ -122,8 +130,28 @@ def precision_at_k(exact: DataFrame, guess: DataFrame) -> DataFrame:
 
 def centroid_skyline(summaries: DataFrame, dims: int, k: int) -> DataFrame:
     """Objects (query_id, part, object_id, d0.. of centroids) with the number of centroids of their partition
-    that dominate theirs; ``kept`` if fewer than k."""
-    a, b = summaries.alias("a"), summaries.alias("b")
-    over = b.join(a, [F.col("a.query_id") == F.col("b.query_id"), F.col("a.part") == F.col("b.part"), F.col("a.object_id") != F.col("b.object_id"), dominates("b", "a", dims)])
-    counts = over.groupBy("a.query_id", "a.object_id").agg(F.count("*").alias("dominators"))
-    return summaries.select(*KEY, "part").join(counts, KEY, "left").na.fill(0, ["dominators"]).withColumn("kept", F.col("dominators") < k)
+    that dominate theirs; ``kept`` if fewer than k. In the plane these are counted as what is dominated
+    once the axes are turned round; in more dimensions centroids are compared."""
+    keys = ["query_id", "part"]
+    if dims == 2:
+        turned = summaries.groupBy(*keys, (-F.col("d0")).alias("x"), (-F.col("d1")).alias("y")).agg(F.count("*").cast("double").alias("w")).withColumn("role", F.lit(0))
+        found = plane.masses(turned, keys, shared_dir(summaries.sparkSession), "skyline").select(*keys, (-F.col("x")).alias("d0"), (-F.col("y")).alias("d1"), F.col("sum_w").cast("long").alias("dominators"))
+        counted = summaries.join(found, [*keys, "d0", "d1"]).select(*KEY, "part", "dominators")
+    else:
+        a, b = summaries.alias("a"), summaries.alias("b")
+        over = b.join(a, [F.col("a.query_id") == F.col("b.query_id"), F.col("a.part") == F.col("b.part"), F.col("a.object_id") != F.col("b.object_id"), dominates("b", "a", dims)])
+        counts = over.groupBy("a.query_id", "a.object_id").agg(F.count("*").alias("dominators"))
+        counted = summaries.select(*KEY, "part").join(counts, KEY, "left").na.fill(0, ["dominators"])
+    return counted.withColumn("kept", F.col("dominators") < k)
+
+
+def box_bounds(inst: DataFrame, dims: int) -> DataFrame:
+    """An upper bound of each object from boxes of objects alone: its mass times the mass of all whose farthest corner
+    its nearest corner dominates. Objects are few beside instances. Two dimensions."""
+    corners = inst.groupBy(*KEY).agg(F.sum("p").alias("mass"), *[f(f"d{d}").alias(f"{n}{d}") for d in range(dims) for f, n in ((F.min, "m"), (F.max, "x"))])
+    corners = materialize(corners, shared_dir(inst.sparkSession), "corners")
+    asked = corners.select("query_id", F.col("m0").alias("x"), F.col("m1").alias("y"), F.lit(1).alias("role"), F.lit(0.0).alias("w"))
+    given = corners.select("query_id", F.col("x0").alias("x"), F.col("x1").alias("y"), F.lit(0).alias("role"), F.col("mass").alias("w"))
+    points = asked.union(given).groupBy("query_id", "x", "y", "role").agg(F.sum("w").alias("w"))
+    found = plane.masses(points, ["query_id"], shared_dir(inst.sparkSession), "boxes").where("role = 1").select("query_id", F.col("x").alias("m0"), F.col("y").alias("m1"), "sum_w")
+    return corners.join(found, ["query_id", "m0", "m1"]).select(*KEY, rounded(F.col("mass") * F.col("sum_w")).alias("box_ub"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthant.functions.dominance import distance
+from orthant.storage import shared_dir
+
+from .ranks import numbered
 
 SHARED_QUERY = "__shared_query_input__"
 
@@ -67,5 +70,5 @@ def partition_index(instances: DataFrame, dims: int) -> DataFrame:
 
 def holdout(rows: DataFrame, order: list[str], every: int = 5) -> DataFrame:
     """``in_holdout``: each fifth row of a query. If nothing is left to train on, train on all."""
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return rows.withColumn("in_holdout", n % every == 0)
+    placed = numbered(rows, ["query_id"], order, shared_dir(rows.sparkSession), "holdout", "_place")
+    return placed.withColumn("in_holdout", F.col("_place") % every == 0).drop("_place")

@@ -3,20 +3,31 @@
 score(o) is the sum over instances a of o, and b of other objects, of p_a * p_b where a dominates b.
 
 Up to ``DIRECT_MAX`` instances the right side is broadcast (its size is counted first) and compared
-directly. Beyond, in two dimensions, a grid of quantile cells replaces nearly all comparisons:
-cells beyond in both dimensions are dominated as a whole (cumulative sums), only points in the same
-row or column of cells are compared, and the object's own share is taken off again. Equal points are
-merged first, so ties cost nothing. In more dimensions pairs are compared in salted blocks.
+directly. Beyond, equal points are merged and sums over dominated points are taken in n log n: in two
+dimensions by strips and cells of the plane, in three by one level of halves more (a point is in one block
+of each level; it asks if it is in the first half and gives its mass if it is in the second). An
+object's own share is summed in the same way and taken off. In more dimensions pairs are compared in salted
+blocks, which is quadratic. The ways differ in the order of sums, so in no more than the last digits of a double.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthant.functions.dominance import dominates
+from orthant.shipping import ship
+from orthant.storage import materialize, shared_dir
+
+from . import plane
 
-DIRECT_MAX, CELLS, ND_SALTS = 8192, 64, 32
+DIRECT_MAX, ND_SALTS = 8192, 32
+#: In three dimensions, blocks of a range partition and the points of a partition.
+BLOCKS, PARTITION_POINTS = 128, 100_000
 DIGITS = 6
 
 
@@ -24,20 +35,90 @@ def rounded(c: Column | str) -> Column:
     return F.round(c, DIGITS)
 
 
-def dominated_mass(inst: DataFrame, dims: int, keys: list[str], candidates: DataFrame | None = None, method: str = "auto") -> DataFrame:
+def dominated_mass(inst: DataFrame, dims: int, keys: list[str], candidates: DataFrame | None = None, method: str = "auto", own: DataFrame | None = None) -> DataFrame:
     """(query_id, object_id, score): scores among the instances that agree in keys. ``candidates``
-    (query_id, object_id) limits whose scores are wanted, never what they are held against."""
+    (query_id, object_id) limits whose scores are wanted, never what they are held against. ``own``: what
+    ``own_shares`` gave, if it is known."""
     wanted = inst if candidates is None else inst.join(candidates, ["query_id", "object_id"], "left_semi")
     if method == "auto":
         method = choose_method(inst, dims)
-    return {"direct": _direct, "grid": _grid, "blocks": _blocks}[method](wanted, inst, dims, keys)
+    if method != "grid":
+        return {"direct": _direct, "blocks": _blocks}[method](wanted, inst, dims, keys)
+    place = [f"d{d}" for d in range(dims)]
+    found = _masses(_merged(inst, keys, dims), keys, dims)
+    total = wanted.select(*_columns(dims, keys)).join(found.drop("p"), [*keys, *place]).groupBy("query_id", "object_id").agg(F.sum(F.col("p") * F.col("mass")).alias("score"))
+    own = own_shares(inst, dims) if own is None else own
+    return total.join(own, ["query_id", "object_id"], "left").select("query_id", "object_id", F.greatest(F.col("score") - F.coalesce("own", F.lit(0.0)), F.lit(0.0)).alias("score"))
+
+
+def own_shares(inst: DataFrame, dims: int) -> DataFrame:
+    """(query_id, object_id, own): what an object's instances dominate of the object itself. Objects lie in
+    one partition, so it is the same for scores within partitions."""
+    keys = ["query_id", "object_id"]
+    found = _masses(_merged(inst, keys, dims), keys, dims)
+    return materialize(found.groupBy(*keys).agg(F.sum(F.col("p") * F.col("mass")).alias("own")), shared_dir(inst.sparkSession), "own")
+
+
+def _merged(inst: DataFrame, keys: list[str], dims: int) -> DataFrame:
+    return inst.groupBy(*keys, *[f"d{d}" for d in range(dims)]).agg(F.sum("p").alias("p"))
+
+
+def _masses(points: DataFrame, keys: list[str], dims: int) -> DataFrame:
+    """Different points (keys, d0.., p) with the mass that each dominates in its group."""
+    folder = shared_dir(points.sparkSession)
+    if dims == 1:
+        points, dims = points.withColumn("d1", F.lit(0.0)), 2
+        return _masses(points, keys, 2).drop("d1")
+    if dims == 2:
+        found = plane.masses(points.select(*keys, F.col("d0").alias("x"), F.col("d1").alias("y"), F.lit(0).alias("role"), F.col("p").alias("w")), keys, folder, "plane")
+        return found.select(*keys, F.col("x").alias("d0"), F.col("y").alias("d1"), F.col("w").alias("p"), F.col("sum_w").alias("mass"))
+    return _space(points, keys, folder)
+
+
+def _space(points: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The same in three dimensions. In the order of (d0, d1, d2) a point dominates only later ones; those
+    of its own block are compared, those of later blocks are met level by level in the plane of d1 and d2."""
+    place = ["d0", "d1", "d2"]
+    points = materialize(points.select(*keys, *place, "p"), folder, "space-points")
+    strips = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // PARTITION_POINTS))
+    ship(points.sparkSession.sparkContext)
+    dealt = points.repartitionByRange(strips, *keys, *place).sortWithinPartitions(*keys, *place).withColumn("s", F.spark_partition_id().cast("long")).withColumn("near", F.lit(0.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(whole) if (whole := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        n = table.num_rows
+        group = plane._groups(table, keys)
+        y, z, p = (table.column(c).to_numpy() for c in ("d1", "d2", "p"))
+        step = -(-n // BLOCKS)
+        near = np.zeros(n)
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            for c in range(a, b, 256):
+                rows, later = np.arange(c, min(b, c + 256))[:, None], slice(c, b)
+                wins = (y[later] >= y[rows]) & (z[later] >= z[rows]) & (group[later] == group[rows]) & (np.arange(c, b) > rows)
+                near[c : min(b, c + 256)] = wins @ p[later]
+        s = table.column("s").to_numpy() * BLOCKS + np.arange(n) // step
+        for name, values in (("s", s), ("near", near)):
+            table = table.set_column(table.column_names.index(name), name, pa.array(values))
+        yield from table.to_batches(max_chunksize=10_000)
+
+    placed = materialize(dealt.mapInArrow(run, dealt.schema), folder, "space-blocks")
+    level = F.explode(F.sequence(F.lit(0), F.lit((strips * BLOCKS - 1).bit_length() - 1)))
+    met = placed.select(*keys, *place, "p", "s", level.alias("level")).select("*", F.expr("shiftright(s, level + 1)").alias("block"), F.expr("shiftright(s, level) & 1").cast("int").alias("role"))
+    inner = [*keys, "level", "block"]
+    flat = met.groupBy(*inner, F.col("d1").alias("x"), F.col("d2").alias("y"), "role").agg(F.sum(F.when(F.col("role") == 1, F.col("p")).otherwise(0.0)).alias("w"))
+    seen = plane.masses(flat, inner, folder, "space").where("role = 0 and sum_w > 0").select(*inner, F.col("x").alias("d1"), F.col("y").alias("d2"), "sum_w")
+    far = met.where("role = 0").join(seen, [*inner, "d1", "d2"]).groupBy(*keys, *place).agg(F.sum("sum_w").alias("far"))
+    return placed.join(far, [*keys, *place], "left").select(*keys, *place, "p", (F.col("near") + F.coalesce("far", F.lit(0.0))).alias("mass"))
 
 
 def choose_method(inst: DataFrame, dims: int) -> str:
     """How to compare, by counting (up to the limit) what would be broadcast."""
     if inst.limit(DIRECT_MAX + 1).count() <= DIRECT_MAX:
         return "direct"
-    return "grid" if dims == 2 else "blocks"
+    return "grid" if dims <= 3 else "blocks"
 
 
 def _columns(dims: int, keys: list[str]) -> list[str]:
@@ -65,40 +146,16 @@ def _blocks(wanted: DataFrame, inst: DataFrame, dims: int, keys: list[str]) -> D
     return _summed(left.alias("a").join(right.alias("b"), [*same, F.col("a.object_id") != F.col("b.object_id"), dominates("a", "b", dims)]))
 
 
-def _grid(wanted: DataFrame, inst: DataFrame, dims: int, keys: list[str]) -> DataFrame:
-    steps = [i / CELLS for i in range(1, CELLS)]
-    edges = inst.groupBy(*keys).agg(F.percentile_approx("d0", steps, 10000).alias("e0"), F.percentile_approx("d1", steps, 10000).alias("e1"))
-    cell = lambda d: F.size(F.filter(f"e{d}", lambda e: e <= F.col(f"d{d}"))).alias(f"c{d}")
-    points = inst.groupBy(*keys, "d0", "d1").agg(F.sum("p").alias("p")).join(edges, keys).select(*keys, "d0", "d1", "p", cell(0), cell(1))
-    side = F.sequence(F.lit(0), F.lit(CELLS - 1))
-    whole = inst.select(*keys).distinct().withColumn("c0", F.explode(side)).withColumn("c1", F.explode(side))
-    masses = whole.join(points.groupBy(*keys, "c0", "c1").agg(F.sum("p").alias("mass")), [*keys, "c0", "c1"], "left").na.fill(0.0, ["mass"])
-    beyond = lambda fixed, moving: Window.partitionBy(*keys, fixed).orderBy(F.desc(moving)).rowsBetween(Window.unboundedPreceding, -1)
-    full = masses.withColumn("right", F.coalesce(F.sum("mass").over(beyond("c0", "c1")), F.lit(0.0))).withColumn("full", F.coalesce(F.sum("right").over(beyond("c1", "c0")), F.lit(0.0))).drop("mass", "right")
-    a, b = points.alias("a"), points.alias("b")
-    same = lambda *names: [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, *names)]
-    # In the same row of cells everything is compared, in the same column what lies in later rows.
-    row = a.join(b, [*same("c0"), dominates("a", "b", 2)])
-    column = a.join(b, [*same("c1"), F.col("b.c0") > F.col("a.c0"), F.col("b.d1") >= F.col("a.d1")])
-    near = lambda pairs: pairs.groupBy(*[f"a.{k}" for k in (*keys, "d0", "d1")]).agg(F.sum("b.p").alias("near"))
-    border = near(row).unionByName(near(column)).groupBy(*keys, "d0", "d1").agg(F.sum("near").alias("near"))
-    mass = points.drop("p").join(full, [*keys, "c0", "c1"]).join(border, [*keys, "d0", "d1"], "left").select(*keys, "d0", "d1", (F.col("full") + F.coalesce("near", F.lit(0.0))).alias("mass"))
-    c = _columns(2, keys)
-    total = wanted.select(*c).join(mass, [*keys, "d0", "d1"]).groupBy("query_id", "object_id").agg(F.sum(F.col("p") * F.col("mass")).alias("score"))
-    mine = _summed(wanted.select(*c).alias("a").join(inst.select(*c).alias("b"), [*same("object_id"), dominates("a", "b", 2)])).withColumnRenamed("score", "own")
-    return total.join(mine, ["query_id", "object_id"], "left").select("query_id", "object_id", F.greatest(F.col("score") - F.coalesce("own", F.lit(0.0)), F.lit(0.0)).alias("score"))
-
-
 def objects_of(inst: DataFrame) -> DataFrame:
     return inst.groupBy("query_id", "object_id").agg(F.count("*").alias("n_inst"), F.sum("p").alias("mass"), F.min("part").alias("part"))
 
 
-def scores(inst: DataFrame, dims: int, candidates: DataFrame | None = None, method: str = "auto") -> DataFrame:
+def scores(inst: DataFrame, dims: int, candidates: DataFrame | None = None, method: str = "auto", own: DataFrame | None = None) -> DataFrame:
     """query_id, object_id, n_inst, score; an object that dominates nothing scores 0."""
-    own = objects_of(inst).select("query_id", "object_id", "n_inst")
+    objects = objects_of(inst).select("query_id", "object_id", "n_inst")
     if candidates is not None:
-        own = own.join(candidates, ["query_id", "object_id"], "left_semi")
-    return own.join(dominated_mass(inst, dims, ["query_id"], candidates, method), ["query_id", "object_id"], "left").na.fill(0.0, ["score"])
+        objects = objects.join(candidates, ["query_id", "object_id"], "left_semi")
+    return objects.join(dominated_mass(inst, dims, ["query_id"], candidates, method, own), ["query_id", "object_id"], "left").na.fill(0.0, ["score"])
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:

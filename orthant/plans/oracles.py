@@ -6,7 +6,7 @@ ITEMS = """
 items as (
   select l_partkey as object_id, l_orderkey || '-' || l_linenumber as instance_id, 1e0 / count(*) over (partition by l_partkey) as p,
          (l_partkey % 4)::int as part, l_quantity / 50e0 as a0, l_extendedprice / 100000e0 as a1, l_discount * 10e0 as a2, l_orderkey, l_linenumber
-  from lineitem where l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1998-04-01')"""
+  from lineitem)"""
 HIDDEN = """
 rows2 as (
   select object_id, instance_id, p, part, a0, case when (l_orderkey * 7 + l_linenumber) % 5 = 0 then null else a1 end as a1,
@@ -146,7 +146,38 @@ def live(where: str) -> str:
     return q(EVENTS, POINTS[2], f"last_one as (select * from happened where {where} qualify row_number() over (partition by object_id order by ts desc, event_id desc) = 1)", "alive as (select * from last_one where event_type <> 'error')", dist2("alive"), scored(), select=top())
 
 
-def sliced_sql() -> dict[str, str]:
+EMBEDDING_DIMS = 64
+EMBEDDED = f"inst as (select 'q0' as query_id, label::bigint as object_id, label % 4 as part, 1e0 / count(*) over (partition by label) as p, {', '.join(f'abs(embedding[{d + 1}]::double) as d{d}' for d in range(EMBEDDING_DIMS))} from embeddings)"
+
+# The marks of the improved engine, and what each treatment emits.
+IMPROVED = f"""
+kept as (select c.query_id, c.object_id from centres c left join over_it using (query_id, object_id) where coalesce(dominators, 0) < 10),
+first as (select query_id, lb as tau_star from bounds join kept using (query_id, object_id) qualify row_number() over (partition by query_id order by lb desc, object_id) = 10),
+corners as (select query_id, object_id, sum(p) as mass, min(d0) as m0, max(d0) as x0, min(d1) as m1, max(d1) as x1 from inst group by all),
+box as (select a.query_id, a.object_id, round(a.mass * sum(b.mass), 6) as box_ub from corners a join corners b on a.query_id = b.query_id and {dom("a", "b", left="m", right="x")} group by a.query_id, a.object_id, a.mass),
+reach as (select b.* from bounds b join box using (query_id, object_id) left join first using (query_id) where tau_star is null or box_ub >= tau_star),
+tau2 as (select query_id, part, greatest(tau_local, tau_global) as tau from
+  (select distinct query_id, part from reach)
+  left join (select query_id, part, lb as tau_local from reach qualify row_number() over (partition by query_id, part order by lb desc) = 10) using (query_id, part)
+  left join (select query_id, lb as tau_global from reach qualify row_number() over (partition by query_id order by lb desc) = 10) using (query_id)),
+marked2 as (select r.*, (tau_star is null or ub >= tau_star) as above, (tau_star is null or ub >= tau_star) and (tau is null or ub >= tau) as survives from reach r join tau2 using (query_id, part) left join first using (query_id)),
+counted as (select query_id, part, count(*) as part_objects from objects group by all),
+left_over as (
+  select query_id, object_id, part, false as dscp, false as improved from bounds
+  union all select query_id, object_id, part, true, false from marked where survives
+  union all select query_id, object_id, part, false, true from marked2 where above
+  union all select query_id, object_id, part, true, true from marked2 where survives),
+treated(treatment, dscp, aes, improved) as (values ('baseline', false, false, false), ('dscp-only', true, false, false), ('aes-only', false, true, false), ('aes-dscp', true, true, false),
+  ('improved-baseline', false, false, true), ('improved-dscp-only', true, false, true), ('improved-aes-only', false, true, true), ('improved-aes-dscp', true, true, true)),
+sizes as (select query_id, count(*) as objects from objects group by all),
+metrics as (
+  select t.treatment, s.query_id, s.objects, s.objects - count(*) as pruned, count(*) as refined, round((s.objects - count(*)) / s.objects, 6) as prune_ratio,
+         (case when t.aes then sum(o.n_inst) else sum(o.n_inst * (c.part_objects - 1)) end)::bigint as emissions
+  from treated t join left_over l on l.dscp = t.dscp and l.improved = t.improved join objects o using (query_id, object_id)
+  join counted c on c.query_id = l.query_id and c.part = l.part join sizes s on s.query_id = l.query_id group by t.treatment, t.aes, s.query_id, s.objects)"""
+
+
+def oracle_sql() -> dict[str, str]:
     flat = "select query_id, object_id, n_inst, round(score, 6) as score from exact"
     return {
         "ptd_exact_topk": q(*BASE1, scored(), select=top()),
@@ -154,11 +185,11 @@ def sliced_sql() -> dict[str, str]:
         "ptd_ndim_topk": q(*BASE2, scored(3), select=top()),
         "ptd_score_all_objects": q(*EXACT2, select=flat),
         "ptd_grid_scores": q(*EXACT2, select=flat),
-        "ptd_embedding_topk": q("inst as (select 'q0' as query_id, label::bigint as object_id, label % 4 as part, 1e0 / count(*) over (partition by label) as p, abs(embedding[1]::double) as d0, abs(embedding[2]::double) as d1, abs(embedding[3]::double) as d2 from embeddings)", scored(3), select=top()),
+        "ptd_embedding_topk": q(EMBEDDED, scored(EMBEDDING_DIMS), select=top()),
         "dominance_pairs": q(*BASE2, "n as (select query_id, object_id, count(*) as n_inst from inst group by all)", f"w as (select a.query_id, a.object_id, count(*) as c from inst a join inst b on a.query_id = b.query_id and a.object_id <> b.object_id and {dom('a', 'b')} group by all)", select="select query_id, object_id, n_inst, coalesce(c, 0) as n_pairs from n left join w using (query_id, object_id)"),
-        "object_mbr_mass": q(ITEMS, select="select object_id, part, count(*) as n_inst, round(sum(p), 6) as mass, min(a0) as lo0, max(a0) as hi0, min(a1) as lo1, max(a1) as hi1, round(avg(a0), 9) as c0, round(avg(a1), 9) as c1 from items group by object_id, part"),
+        "object_mbr_mass": q(ITEMS, select="select object_id, part, count(*) as n_inst, round(sum(p), 6) as mass, min(a0) as lo0, max(a0) as hi0, min(a1) as lo1, max(a1) as hi1, round(round(avg(a0), 12)::decimal(18, 12), 9)::double as c0, round(round(avg(a1), 12)::decimal(18, 12), 9)::double as c1 from items group by object_id, part"),
         "partition_index": q(ITEMS, select="select part, count(distinct object_id) as n_objects, count(*) as n_inst, min(a0) as lo0, max(a0) as hi0, min(a1) as lo1, max(a1) as hi1 from items group by part"),
-        "probability_audit": q(*BASE2, select="select query_id, object_id, round(sum(p), 6) as mass, count(distinct part) as n_parts, abs(sum(p) - 1) > 1e-6 as bad_mass, count(distinct part) > 1 as bad_parts from inst where l_linenumber < 7 group by all"),
+        "probability_audit": q(*BASE2, select="select query_id, object_id, round(sum(p), 6) as mass, count(distinct part) as n_parts, abs(sum(p) - 1) > 1e-6 as bad_mass, count(distinct part) > 1 as bad_parts from inst group by all"),
         "csv_profile": q(ITEMS, HIDDEN, select="select count(*) as n_rows, count(distinct object_id) as n_objects, count(*) - count(a0) as missing_a0, min(a0) as min_a0, max(a0) as max_a0, count(*) - count(a1) as missing_a1, min(a1) as min_a1, max(a1) as max_a1 from rows2"),
         "missing_profile": q(ITEMS, HIDDEN, select="select part, count(*) as n_rows, count(distinct object_id) as n_objects, count(*) - count(a0) as missing_a0, count(*) - count(a1) as missing_a1, (count(*) - count(a1)) / count(*) as missing_rate from rows2 group by part"),
         "impute_rule_expand": q(ITEMS, HIDDEN, "x as (select object_id, instance_id, p, a0, a1, 0 as i, 1e0 as share from rows2 where a1 is not null union all select object_id, instance_id, p, a0, 0.18e0, 0, 0.5e0 from rows2 where a1 is null union all select object_id, instance_id, p, a0, 0.73e0, 1, 0.5e0 from rows2 where a1 is null)", select=EXPANDED + " from x"),
@@ -200,27 +231,23 @@ def sliced_sql() -> dict[str, str]:
         "centroid_skyline": q(ITEMS, POINTS[2], CENTRES, select="select query_id, object_id, part, coalesce(dominators, 0) as dominators, coalesce(dominators, 0) < 10 as kept from centres left join over_it using (query_id, object_id)"),
         "hgtp_topk": TOP2,
         "treatment_matrix": q(*BASE1, scored(), f"best as ({top()})", select=f"select treatment, query_id, object_id, score, rank from best, (values {', '.join(f'({t!r})' for t in TREATMENT_NAMES)}) t(treatment)"),
+        "treatment_emissions": q(*EXACT2, BOUNDS, TAU, CENTRES, IMPROVED, select="select * from metrics"),
+        "run_averages": q(*EXACT2, BOUNDS, TAU, CENTRES, IMPROVED, select="select treatment, count(*) as queries, round(avg(objects), 6) as avg_objects, round(avg(pruned), 6) as avg_pruned, round(avg(refined), 6) as avg_refined, round(avg(prune_ratio), 6) as avg_prune_ratio, round(avg(emissions), 6) as avg_emissions from metrics where treatment in ('baseline', 'aes-dscp') group by treatment"),
+        "best_first_survivors": q(
+            *EXACT2, BOUNDS, BOXES, NODE_DIST.format(nodes="node0"),
+            f"reached as (select a.query_id, a.part, a.node, sum(b.mass) as leaf_ub from boxes a join boxes b on a.query_id = b.query_id and {dom('a', 'b', left='m', right='x')} group by all)",
+            "heavy as (select part, leaf as node, max(mass) as heaviest, count(*) as n_objects from leaves group by all)",
+            "kth as (select query_id, lb as tau from bounds qualify row_number() over (partition by query_id order by lb desc, object_id) = 10)",
+            "bounded as (select r.query_id, part, node, n_objects, round(leaf_ub * heaviest, 6) as bound from reached r join heavy using (part, node))",
+            select="select b.query_id, part, node, n_objects, bound, tau, (tau is null or bound >= tau) as visited from bounded b left join kth using (query_id)",
+        ),
+        "impute_with_deletes": q(EVENTS, "r as (select *, case when event_id % 5 = 0 then null else a1 end as b1, event_type = 'error' as gone from happened)", select="select object_id, instance_id || '#r0' as instance_id, 'UPSERT' as op_type, p, round(a0, 9) as a0, round(b1, 9) as a1 from r where not gone and b1 is not null union all select object_id, instance_id || '#r0', 'UPSERT', p * 0.5e0, round(a0, 9), 0.18e0 from r where not gone and b1 is null union all select object_id, instance_id || '#r1', 'UPSERT', p * 0.5e0, round(a0, 9), 0.73e0 from r where not gone and b1 is null union all select object_id, instance_id, 'DELETE', null, null, null from r where gone"),
+        "own_query_instances": q(ITEMS, POINTS[2], "mine as (select p2.query_id, x.object_id, x.p, abs(x.a0 - p2.q0) as d0, abs(x.a1 - p2.q1) as d1 from items x join points p2 on x.l_orderkey % 3 = 0 or p2.query_id = 'q' || (x.l_orderkey % 3 - 1))", select="select query_id, object_id, count(*) as n_inst, round(sum(p), 6) as mass, min(d0) as m0, max(d1) as x1 from mine group by all"),
+        "csv_events_scan": "select 'q' || (event_id % 2) as query_id, case when event_type = 'error' then 'DELETE' else 'UPSERT' end as op_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n_rows, count(distinct user_id) as n_objects, count(*) filter (where event_id % 5 = 0) as missing_a1, min(value) as min_a0, max(value) as max_a0 from events group by all",
+        "sql_dominates": q(ITEMS, "t as (select *, a0 <= 0.5 and a1 <= 0.4 and a2 <= 0.5 and (a0 < 0.5 or a1 < 0.4 or a2 < 0.5) as below, a0 >= 0.5 and a1 >= 0.4 and a2 >= 0.5 and (a0 > 0.5 or a1 > 0.4 or a2 > 0.5) as above from items)", select="select object_id, count(*) as n_inst, count(*) filter (where below) as n_below, count(*) filter (where above) as n_above from t group by object_id"),
         "latest_upsert_topk": live("true"),
         "window_live_topk": live("ts >= (select max(ts) from happened) - interval 30 days"),
         "events_json_decode": "select event_id, user_id::varchar as object_id, 'q0' as query_id, case when event_type = 'error' then 'DELETE' else 'UPSERT' end as op_type, 1e0 as p, -1 as server_partition, epoch_us(ts) // 1000 as millis, value as a0, case when event_type <> 'view' then json_extract_string(props, '$.k')::double end as a1, (event_type = 'view' or json_extract_string(props, '$.k') is null) as missing_a1 from events",
         "default_query_points": "select 'q' || n_nationkey as query_id, round(least(1, greatest(0, 0.2e0 + n_nationkey * 0.15e0)), 9) as q0, round(least(1, greatest(0, 0.2e0 + n_nationkey * 0.15e0 + 0.05e0)), 9) as q1, round(least(1, greatest(0, 0.2e0 + n_nationkey * 0.15e0 + 0.1e0)), 9) as q2 from nation",
         "java_hash_partition": f"select c_custkey, {JAVA_HASH} as hash, ((({JAVA_HASH}) % 8 + 8) % 8)::int as part from customer",
     }
-
-
-#: What the SQL of whole_NAME leaves out of that of NAME.
-SLICE, THINNED = " where l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1998-04-01'", " where l_linenumber < 7"
-EMBEDDING_DIMS = 64
-
-
-def whole_sql() -> dict[str, str]:
-    found = {f"whole_{name}": sql.replace(SLICE, "").replace(THINNED, "") for name, sql in sliced_sql().items() if SLICE in sql}
-    # Means of many cents lie on the edge of nine digits, where the order of a sum would decide.
-    found["whole_object_mbr_mass"] = found["whole_object_mbr_mass"].replace("round(avg(a0), 9)", "round(round(avg(a0), 12)::decimal(18, 12), 9)::double").replace("round(avg(a1), 9)", "round(round(avg(a1), 12)::decimal(18, 12), 9)::double")
-    vectors = ", ".join(f"abs(embedding[{d + 1}]::double) as d{d}" for d in range(EMBEDDING_DIMS))
-    inst = f"inst as (select 'q0' as query_id, label::bigint as object_id, label % 4 as part, 1e0 / count(*) over (partition by label) as p, {vectors} from embeddings)"
-    return found | {"whole_ptd_embedding_topk": q(inst, scored(EMBEDDING_DIMS), select=top())}
-
-
-def oracle_sql() -> dict[str, str]:
-    return sliced_sql() | whole_sql()

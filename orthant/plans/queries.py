@@ -1,34 +1,30 @@
 """The engine's queries over the driver's tables and the same in DuckDB's SQL.
 
-U1: objects are parts, instances their line items shipped in the first quarter of 1998, each with p = 1/n,
-attributes quantity/50 and price/100000 (and discount*10). Their distances are read several times by one
-plan and so persisted (a lost block is computed again). U2 hides every fifth second attribute.
-U3: objects are users, instances their events (certain). U4: objects are labels, instances embeddings.
-
-whole_NAME is NAME over all line items (audited without thinning), or over all components of the embeddings.
+U1: objects are parts, instances all their line items, each with p = 1/n, attributes quantity/50 and price/100000 (and
+discount*10). Their distances are read several times by one plan and so written first. U2 hides every fifth
+second attribute. U3: objects are users, instances their events (certain). U4: objects are labels, instances
+embeddings with all their components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthant.operators import bounds as B
 from orthant.operators import impute as I
 from orthant.operators import rtree, score
-from orthant.operators.instances import holdout, latest, object_summary, partition_index, probability_audit, profile, with_distances
+from orthant.functions.dominance import register_sql
+from orthant.operators.instances import SHARED_QUERY, holdout, latest, object_summary, partition_index, probability_audit, profile, with_distances
 from orthant.sources import events as E
 from orthant.sources import generators as G
+from orthant.storage import materialize, shared_dir
 
 from . import engine
 
 K, PARTS, HIDE = 10, 4, 5
-#: Whether plans are built over whole tables.
-WHOLE = ContextVar("whole", default=False)
 QUERY_POINTS = (("q0", 0.2, 0.25, 0.5), ("q1", 0.35, 0.4, 0.5))
 
 
@@ -42,8 +38,6 @@ def query_points(spark: SparkSession, n: int = 2) -> DataFrame:
 
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    if not WHOLE.get():
-        items = items.where("l_shipdate >= timestamp_ntz '1998-01-01' and l_shipdate < timestamp_ntz '1998-04-01'")
     share = F.lit(1.0) / F.count("*").over(Window.partitionBy("l_partkey"))
     return items.select(F.col("l_partkey").alias("object_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("instance_id"), share.alias("p"), (F.col("l_partkey") % PARTS).cast("int").alias("part"), (F.col("l_quantity") / 50.0).alias("a0"), (F.col("l_extendedprice") / 100000.0).alias("a1"), (F.col("l_discount") * 10.0).alias("a2"), "l_orderkey", "l_linenumber")
 
@@ -54,7 +48,7 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1(spark: SparkSession, sf_dir: str, n: int = 2, dims: int = 2) -> DataFrame:
-    return with_distances(u1(spark, sf_dir), query_points(spark, n), dims).persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(with_distances(u1(spark, sf_dir), query_points(spark, n), dims), shared_dir(spark), "distances")
 
 
 def _top(spark, sf_dir, n, dims):
@@ -83,7 +77,7 @@ def ptd_grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ptd_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    dims = (vectors.agg(F.max(F.size("embedding"))).first()[0] or 3) if WHOLE.get() else 3
+    dims = vectors.agg(F.max(F.size("embedding"))).first()[0] or 2
     rows = vectors.select(F.col("label").cast("long").alias("object_id"), F.col("vec_id").cast("string").alias("instance_id"), (F.lit(1.0) / F.count("*").over(Window.partitionBy("label"))).alias("p"), (F.col("label") % PARTS).alias("part"), *[F.col("embedding")[d].cast("double").alias(f"a{d}") for d in range(dims)])
     point = spark.createDataFrame([("q0", *[0.0] * dims)], ", ".join(["query_id string", *[f"q{d} double" for d in range(dims)]]))
     return score.top_k(score.scores(with_distances(rows, point, dims), dims), K).select("query_id", "object_id", "n_inst", "score", "rank")
@@ -102,9 +96,7 @@ def partition_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probability_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d1(spark, sf_dir)
-    audited = rows if WHOLE.get() else rows.where("l_linenumber < 7")
-    return probability_audit(audited).withColumn("mass", score.rounded("mass"))
+    return probability_audit(d1(spark, sf_dir)).withColumn("mass", score.rounded("mass"))
 
 
 def csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +144,7 @@ def imputation_mae_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ptd_imputed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inst = with_distances(_imputed(u2(spark, sf_dir)).drop("query_id"), query_points(spark), 2).persist(StorageLevel.MEMORY_AND_DISK)
+    inst = materialize(with_distances(_imputed(u2(spark, sf_dir)).drop("query_id"), query_points(spark), 2), shared_dir(spark), "distances")
     return score.top_k(score.scores(inst, 2), K).select("query_id", "object_id", "n_inst", "score", "rank")
 
 
@@ -168,14 +160,19 @@ def dscp_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pruned(B.partition_bounds(d1(spark, sf_dir), 2), K).select("query_id", "object_id", "part", "lb", "ub", "tau", "survives")
 
 
-def dscp_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pruned(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
     inst = d1(spark, sf_dir)
-    return B.pruned_top_k(inst, B.partition_bounds(inst, 2), 2, K).select("query_id", "object_id", "n_inst", "score", "lb", "ub", "rank")
+    method = score.choose_method(inst, 2)
+    own = score.own_shares(inst, 2) if method == "grid" else None
+    return B.pruned_top_k(inst, B.partition_bounds(inst, 2, method, own=own), 2, K, scope, method, own)
+
+
+def dscp_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir, "both").select("query_id", "object_id", "n_inst", "score", "lb", "ub", "rank")
 
 
 def partition_scope_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inst = d1(spark, sf_dir)
-    return B.pruned_top_k(inst, B.partition_bounds(inst, 2), 2, K, "partition").select("query_id", "object_id", "n_inst", "score", "rank")
+    return _pruned(spark, sf_dir, "partition").select("query_id", "object_id", "n_inst", "score", "rank")
 
 
 def object_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,13 +213,13 @@ def _boxes(spark, sf_dir):
 
 def node_full_partial_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst, boxes = _boxes(spark, sf_dir)
-    found = rtree.remote_masses(rtree.inspect(inst, boxes, 2, 0))
+    found = rtree.remote_masses(inst, boxes, 2, 0)
     return found.select("query_id", "object_id", score.rounded("full_mass").alias("full_mass"), score.rounded("partial_mass").alias("partial_mass"), "partial_refs")
 
 
 def node_emission_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst, boxes = _boxes(spark, sf_dir)
-    return rtree.emission_counts(rtree.inspect(inst, boxes, 2, 0))
+    return rtree.emission_counts(inst, boxes, 2, 0)
 
 
 def leaf_upper_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,21 +291,61 @@ def java_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("c_custkey", string_hash(F.col("c_name")).alias("hash"), partition_of(F.lit(-1), F.col("c_name"), 8).alias("part"))
 
 
-def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """f over whole tables."""
+def treatment_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each treatment prunes and emits; packed treatments never emit more."""
+    items, points, out = u1(spark, sf_dir), query_points(spark), None
+    method = score.choose_method(items, 2)
+    for name in engine.TREATMENTS:
+        one = engine.treatment_metrics(items, points, 2, K, name, method)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def run_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, points = u1(spark, sf_dir), query_points(spark)
+    return engine.run_averages(engine.treatment_metrics(items, points, 2, K, "aes-dscp").unionByName(engine.treatment_metrics(items, points, 2, K, "baseline")))
+
+
+def best_first_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves in the order of a best-first visit by their bounds, and which of them it reads."""
+    items, points = u1(spark, sf_dir), query_points(spark)
+    inst = d1(spark, sf_dir)
+    leaves, nodes = rtree.build(items, 2)
+    boxes = rtree.summaries(nodes, points.select("query_id", "q0", "q1"), 2)
+    return rtree.best_first(items, leaves, boxes, 2, B.partition_bounds(inst, 2).select("query_id", "object_id", "lb"), K)
+
+
+def impute_with_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a hidden second attribute as records: instances of upserts, identities of deletes."""
+    rows = user_events(spark, sf_dir).withColumn("a1", F.when(F.col("event_id") % HIDE != 0, F.col("a1")))
+    done = I.with_deletes(I.expand(rows, I.rule_candidates(I.default_rules(2), 2)), rows, 2)
+    return done.select("object_id", "instance_id", "op_type", *[F.round(c, 9).alias(c) for c in ("p", "a0", "a1")])
+
+
+def own_query_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of one query each and of all queries: every third order is shared, others belong to one."""
+    mine = F.when(F.col("l_orderkey") % 3 == 0, SHARED_QUERY).otherwise(F.concat(F.lit("q"), (F.col("l_orderkey") % 3 - 1).cast("string")))
+    found = with_distances(u1(spark, sf_dir).withColumn("query_id", mine), query_points(spark), 2)
+    return found.groupBy("query_id", "object_id").agg(F.count("*").alias("n_inst"), score.rounded(F.sum("p")).alias("mass"), F.min("d0").alias("m0"), F.max("d1").alias("x1"))
+
+
+def csv_events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as CSV files with their own names of columns, and read as events again."""
+    path = f"{shared_dir(spark)}/events.csv"
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("ObjectId"), F.concat(F.lit("q"), (F.col("event_id") % 2).cast("string")).alias("queryId"), F.expr("unix_millis(cast(ts as timestamp))").alias("EVENTTIME"), F.when(F.col("event_type") == "error", "delete").alias("opType"), F.col("value").alias("speed"), F.when(F.col("event_id") % HIDE != 0, F.col("value") * 2).alias("load"))
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    read = E.read_csv(spark, path)
+    by_day = F.date_format("event_time", "yyyy-MM-dd").alias("day")
+    return read.groupBy("query_id", "op_type", by_day).agg(F.count("*").alias("n_rows"), F.count_distinct("object_id").alias("n_objects"), F.count_if(F.col("a1").isNull()).alias("missing_a1"), F.min("a0").alias("min_a0"), F.max("a0").alias("max_a0"))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            WHOLE.reset(before)
 
-    return run
+def sql_dominates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL function on all line items against a point."""
+    register_sql(spark)
+    u1(spark, sf_dir).createOrReplaceTempView("orthant_items")
+    return spark.sql("select object_id, count(*) as n_inst, count_if(dominates(array(a0, a1, a2), array(0.5D, 0.4D, 0.5D))) as n_below, count_if(dominates(array(0.5D, 0.4D, 0.5D), array(a0, a1, a2))) as n_above from orthant_items group by object_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (ptd_exact_topk, ptd_multi_query_topk, ptd_ndim_topk, ptd_score_all_objects, ptd_grid_scores, ptd_embedding_topk, dominance_pairs, object_mbr_mass, partition_index_query, probability_audit_query, csv_profile, missing_profile, impute_rule_expand, synopsis_determinant_choice, synopsis_bucket_candidates, impute_synopsis_expand, imputation_mae_holdout, ptd_imputed_topk, bounds_no_mbr, kth_lower_bound_tau, dscp_survivors, dscp_topk, partition_scope_topk, object_traces, false_prune_audit, emission_counts_aer, certified_bounds_topk, proxy_candidate_topk, partitioned_candidate_precision, str_leaf_assignment, node_full_partial_mass, node_emission_counts, leaf_upper_bounds, export_level_cost, indexed_topk, centroid_skyline, hgtp_topk, treatment_matrix, latest_upsert_topk, window_live_topk, events_json_decode, default_query_points, java_hash_partition)
-    sliced = {f.__name__.removesuffix("_query"): f for f in own}
-    uncut = (latest_upsert_topk, window_live_topk, events_json_decode, default_query_points, java_hash_partition)
-    return sliced | {f"whole_{name}": whole(f) for name, f in sliced.items() if f not in uncut}
+    own = (ptd_exact_topk, ptd_multi_query_topk, ptd_ndim_topk, ptd_score_all_objects, ptd_grid_scores, ptd_embedding_topk, dominance_pairs, object_mbr_mass, partition_index_query, probability_audit_query, csv_profile, missing_profile, impute_rule_expand, synopsis_determinant_choice, synopsis_bucket_candidates, impute_synopsis_expand, imputation_mae_holdout, ptd_imputed_topk, bounds_no_mbr, kth_lower_bound_tau, dscp_survivors, dscp_topk, partition_scope_topk, object_traces, false_prune_audit, emission_counts_aer, certified_bounds_topk, proxy_candidate_topk, partitioned_candidate_precision, str_leaf_assignment, node_full_partial_mass, node_emission_counts, leaf_upper_bounds, export_level_cost, indexed_topk, centroid_skyline, hgtp_topk, treatment_matrix, treatment_emissions, run_averages, best_first_survivors, impute_with_deletes, own_query_instances, csv_events_scan, sql_dominates, latest_upsert_topk, window_live_topk, events_json_decode, default_query_points, java_hash_partition)
+    return {f.__name__.removesuffix("_query"): f for f in own}

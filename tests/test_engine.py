@@ -72,6 +72,9 @@ def test_bounds_hold_and_nothing_true_is_pruned(spark, seed):
     for r in marked.collect():
         assert r.lb - 1e-6 <= want[r.object_id] <= r.ub + 1e-6
     assert [r.object_id for r in top.orderBy("rank").collect()] == best
+    met = rtree.inspect(inst, rtree.summaries(rtree.build(data, 2, 3)[1], qs, 2), 2).where("not is_full").groupBy("object_id").count().collect()
+    refs = {r.object_id: r.partial_refs for r in marked.collect() if r.partial_refs}
+    assert refs == {r.object_id: r["count"] for r in met}
     coarse, _ = engine.rank_indexed(data, qs, 2, k, level=1, fanout=3)
     assert [r.object_id for r in coarse.orderBy("rank").collect()] == best
     for name in ("baseline", "aes-dscp", "improved-aes-dscp"):
@@ -94,10 +97,27 @@ def test_leaf_bounds_are_sound(spark):
 
 def test_treatments():
     assert engine.treatment(" FULL ").name == "aes-dscp" and engine.treatment("hgtp").improved and len(engine.TREATMENTS) == 8
+    assert [engine.treatment(x).name for x in ("AES+DHCP", "aes_dscp", "improved-full", "improved-dscp", "improved_aes")] == ["aes-dscp", "aes-dscp", "improved-aes-dscp", "improved-dscp-only", "improved-aes-only"]
     with pytest.raises(ValueError):
         engine.treatment("other")
 
 
+def test_deletes_are_no_instances(spark):
+    rows = spark.createDataFrame([("o", "i", "UPSERT", 1.0, 0.2, None), ("o", "j", "DELETE", 1.0, None, 0.4)], "object_id string, instance_id string, op_type string, p double, a0 double, a1 double")
+    rules = impute.rule_candidates({}, 2)
+    assert sorted(r.instance_id for r in impute.expand(rows, rules).collect()) == ["i#r0", "i#r1"]
+    kept = {r.instance_id: r for r in impute.with_deletes(impute.expand(rows, rules), rows, 2).collect()}
+    assert set(kept) == {"i#r0", "i#r1", "j"} and (kept["j"].object_id, kept["j"].op_type, kept["j"].p, kept["j"].a1) == ("o", "DELETE", None, None)
+
+
+def test_declared_boxes_choose_the_indexed_plan(spark):
+    data, qs = table(spark, random_rows(4, 2), 2), points(spark, [0.3, 0.3])
+    boxed = data.withColumns({f"mbr_{s}{d}": F.lit(0.0) for s in ("lo", "hi") for d in range(2)})
+    assert not engine.indexed(data, 2) and engine.indexed(boxed, 2)
+    answers = [[r.object_id for r in engine.rank_any(t, qs, 2, 4, a)[0].orderBy("rank").collect()] for t, a in ((data, "aes-dscp"), (boxed, "aes-dscp"), (boxed, "hgtp"))]
+    assert answers[0] == answers[1] == answers[2]
+
+
 def test_two_point_rules(spark):
     rows = spark.createDataFrame([("o", "i", 0.2, 3, 0.2, None)], "object_id string, instance_id string, p double, part int, a0 double, a1 double")
     got = impute.expand(rows, impute.rule_candidates({1: (0.1, 0.9, 0.7)}, 2)).orderBy("instance_id").collect()
