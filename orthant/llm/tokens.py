@@ -22,6 +22,7 @@ looked at.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -38,9 +39,12 @@ from pyspark.sql import functions as F
 from .storage import map_arrow, materialize, plain_columns, shared_dir, text_hash
 
 END_ID, SEQUENCE, SEQUENCES_A_BATCH = 2, 1024, 64
-CACHED_WORDS, CACHED_CHARS = 200_000, 64
+CACHED_WORDS, CACHED_CHARS = 400_000, 64
 # Fixed value: the pattern of the pieces of the word tokenizers that are encoded by words.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters beside ASCII that stay as they are under NFC and have one lower-case letter: Latin (but the dotted I) and Cyrillic.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f]+")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHARD = "shard long, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -53,6 +57,17 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + (rest if rest.startswith("//") else f"//{rest}"))
 
 
+def _byte_level() -> dict[int, str]:
+    """What the byte-level step writes for each letter beyond ASCII: a letter for each byte of its UTF-8. Bytes that
+    are printable in Latin-1 stand for themselves, the others are numbered from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x800)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
 class WordIds(dict):
     """Ids of words as bytes; a word that isn't there is found in the generation before or encoded.
     Words longer than ``CACHED_CHARS`` are encoded each time, so the cache's bytes are bounded."""
@@ -88,8 +103,8 @@ class Encoder:
         self.dtype, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
         declared = json.loads(self.tokenizer.to_str())
         self.pattern = self._pieces(declared)
-        self.special = tuple(t["content"] for t in declared["added_tokens"])
-        self.by_word = self.pattern is not None and not any(regex.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in declared["added_tokens"])
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in declared["added_tokens"]) or r"(?!)")
+        self.by_word = self.pattern is not None and not any(regex.search(r"\s", t["content"]) or t["content"].isalpha() or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in declared["added_tokens"])
         self.known = WordIds(self._word, {})
 
     @staticmethod
@@ -111,15 +126,24 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(piece)])
+
     def _word(self, word: str) -> bytes:
-        """Printable ASCII words go piece by piece through the model, where each byte stands for itself
-        and lower case is all that normalising does; others, and those with a special token (which is sought
-        before the case is lowered), through the whole tokenizer."""
-        if not word.isascii() or not word.isprintable() or any(t in word for t in self.special):
+        """Words of PLAIN characters go piece by piece through the model, since lower case is all that
+        normalising does to them; others, and those with a special token (which is sought
+        before the case is lowered, and isn't all letters), through the whole tokenizer."""
+        if word.isalpha():
+            if word.isascii():
+                return self._piece(word.lower())
+            return self._piece(word.lower().translate(BYTE_LEVEL)) if PLAIN.fullmatch(word) else self._bytes(self._ids(word))
+        if not PLAIN.fullmatch(word) or self.special.search(word):
             return self._bytes(self._ids(word))
-        low = word.lower()
-        pieces = [low] if low.isalpha() else self.pattern.findall(low)
-        return b"".join([self.known[p] if len(pieces) > 1 else self._bytes([t.id for t in self.model.tokenize(p)]) for p in pieces])
+        stem = word.rstrip(SIGNS)
+        if stem.isalpha():  # signs behind letters are one piece
+            return self.known[stem] + self.known[word[len(stem) :]]
+        pieces = self.pattern.findall(word.lower())
+        return b"".join([self.known[p] for p in pieces]) if len(pieces) > 1 else self._piece(pieces[0].translate(BYTE_LEVEL))
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
