@@ -32,7 +32,8 @@ DIGITS = 6
 
 
 def rounded(c: Column | str) -> Column:
-    return F.round(c, DIGITS)
+    """To six digits, by way of nine, so that the order of a sum doesn't decide what lies on an edge."""
+    return F.round(F.round(c, DIGITS + 3), DIGITS)
 
 
 def dominated_mass(inst: DataFrame, dims: int, keys: list[str], candidates: DataFrame | None = None, method: str = "auto", own: DataFrame | None = None) -> DataFrame:

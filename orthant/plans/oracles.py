@@ -14,6 +14,11 @@ rows2 as (
 POINTS = {1: "points(query_id, q0, q1, q2) as (values ('q0', 0.2e0, 0.25e0, 0.5e0))", 2: "points(query_id, q0, q1, q2) as (values ('q0', 0.2e0, 0.25e0, 0.5e0), ('q1', 0.35e0, 0.4e0, 0.5e0))"}
 
 
+def six(x: str) -> str:
+    """Six digits by way of nine, in decimals."""
+    return f"round(round({x}, 9)::decimal(38, 9), 6)::double"
+
+
 def dist(source: str = "items") -> str:
     return f"inst as (select points.query_id, x.* exclude (query_id), abs(a0 - q0) as d0, abs(a1 - q1) as d1, abs(a2 - q2) as d2 from (select *, null as query_id from {source}) x, points)"
 
@@ -31,8 +36,8 @@ def dom(a: str, b: str, dims: int = 2, left: str = "d", right: str = "d") -> str
 def scored(dims: int = 2) -> str:
     return f"""
 objects as (select query_id, object_id, count(*) as n_inst, sum(p) as mass, min(part) as part from inst group by all),
-won as (select a.query_id, a.object_id, sum(a.p * b.p) as score,
-               sum(a.p * b.p) filter (where a.part = b.part) as local
+won as (select a.query_id, a.object_id, fsum(a.p * b.p) as score,
+               fsum(a.p * b.p) filter (where a.part = b.part) as local
         from inst a join inst b on a.query_id = b.query_id and a.object_id <> b.object_id and {dom("a", "b", dims)} group by all),
 exact as (select o.*, coalesce(w.score, 0) as score, coalesce(w.local, 0) as local from objects o left join won w using (query_id, object_id))"""
 
@@ -40,14 +45,14 @@ exact as (select o.*, coalesce(w.score, 0) as score, coalesce(w.local, 0) as loc
 def top(source: str = "exact", columns: str = "query_id, object_id, n_inst, score", k: int = 10) -> str:
     return f"""select {columns}, rank from (
   select *, row_number() over (partition by query_id order by score desc, object_id) as rank
-  from (select * replace (round(score, 6) as score) from {source})) where rank <= {k}"""
+  from (select * replace ({six("score")} as score) from {source})) where rank <= {k}"""
 
 
-BOUNDS = """
+BOUNDS = f"""
 masses as (select query_id, part, part_mass, sum(part_mass) over (partition by query_id) as all_mass
            from (select query_id, part, sum(p) as part_mass from inst group by all)),
-bounds as (select e.query_id, e.object_id, e.part, e.n_inst, e.mass, e.score, round(e.local, 6) as lb,
-                  round(e.local + e.mass * (m.all_mass - m.part_mass), 6) as ub
+bounds as (select e.query_id, e.object_id, e.part, e.n_inst, e.mass, e.score, {six("e.local")} as lb,
+                  {six("e.local + e.mass * (m.all_mass - m.part_mass)")} as ub
            from exact e join masses m using (query_id, part))"""
 TAU = """
 tau as (select query_id, part, tau_local, tau_global, greatest(tau_local, tau_global) as tau from
@@ -178,7 +183,7 @@ metrics as (
 
 
 def oracle_sql() -> dict[str, str]:
-    flat = "select query_id, object_id, n_inst, round(score, 6) as score from exact"
+    flat = f"select query_id, object_id, n_inst, {six('score')} as score from exact"
     return {
         "ptd_exact_topk": q(*BASE1, scored(), select=top()),
         "ptd_multi_query_topk": TOP2,
