@@ -245,10 +245,9 @@ def hgtp_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def treatment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer of every treatment for one query; all must agree."""
-    items, points, out = u1(spark, sf_dir), query_points(spark, 1), None
-    method = score.choose_method(items, 2)
-    for name in engine.TREATMENTS:
-        one = engine.rank(items, points, 2, K, name, method=method)[0].select(F.lit(name).alias("treatment"), "query_id", "object_id", "score", "rank")
+    ready, out = engine.Prepared(u1(spark, sf_dir), query_points(spark, 1), 2, K), None
+    for name, how in engine.TREATMENTS.items():
+        one = ready.top(how).select(F.lit(name).alias("treatment"), "query_id", "object_id", "score", "rank")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -291,19 +290,21 @@ def java_hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("c_custkey", string_hash(F.col("c_name")).alias("hash"), partition_of(F.lit(-1), F.col("c_name"), 8).alias("part"))
 
 
-def treatment_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each treatment prunes and emits; packed treatments never emit more."""
-    items, points, out = u1(spark, sf_dir), query_points(spark), None
-    method = score.choose_method(items, 2)
-    for name in engine.TREATMENTS:
-        one = engine.treatment_metrics(items, points, 2, K, name, method)
+def _metrics(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    ready, out = engine.Prepared(u1(spark, sf_dir), query_points(spark), 2, K), None
+    for name in names:
+        one = ready.metrics(engine.treatment(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def treatment_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each treatment prunes and emits; packed treatments never emit more."""
+    return _metrics(spark, sf_dir, list(engine.TREATMENTS))
+
+
 def run_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, points = u1(spark, sf_dir), query_points(spark)
-    return engine.run_averages(engine.treatment_metrics(items, points, 2, K, "aes-dscp").unionByName(engine.treatment_metrics(items, points, 2, K, "baseline")))
+    return engine.run_averages(_metrics(spark, sf_dir, ["aes-dscp", "baseline"]))
 
 
 def best_first_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 State is kept for each query: the instances of the last ``window_ms`` by (object, instance), so an
 object of several instances keeps them all; an upsert replaces its instance, a delete removes its object.
-Each event gives one ranking (``emit='event'``), or each micro-batch one. A late event (before
+The events of a micro-batch are taken in order of time, then object and instance. Each event gives one ranking
+(``emit='event'``), or each micro-batch one. A late event (before
 latest - window) is kept until the next event removes it, or dropped (``late='drop'``). A timer
 clears the state when the watermark passes latest + window; it gives no ranking.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orthant.operators import impute
+from orthant.operators.plane import dominated_sums
 from orthant.shipping import ship
 from orthant.sources.events import decode
 
@@ -25,25 +29,31 @@ STATE = "latest long, objects array<string>, instances array<string>, times arra
 
 
 def ranking(objects: list[str], p: np.ndarray, attrs: np.ndarray, point: np.ndarray, k: int) -> list[tuple]:
-    """(rank, object, score, lb, ub, instances) of the k best objects of one window."""
+    """(rank, object, score, lb, ub, instances) of the k best objects of one window, in n log n in the plane."""
     if not objects:
         return []
     d = np.abs(attrs - point)
-    owner = np.array(objects, object)
-    mass = np.zeros(len(p))
-    for i in range(len(p)):  # a row of the comparison at a time: memory is linear in the window
-        wins = (d[i] <= d).all(1) & (d[i] < d).any(1) & (owner != owner[i])
-        mass[i] = p[i] * p[wins].sum()
-    rows = pd.DataFrame({"o": owner, "s": mass, "p": p}).groupby("o").agg(s=("s", "sum"), best=("p", "max"), mass=("p", "sum"), n=("p", "size"))
-    rows["lb"] = (rows.s - rows.best).clip(lower=0)
-    rows["ub"] = np.minimum(p.sum() - rows.mass, rows.s + rows.best)
-    rows["s"] = rows.s.round(6)
-    rows = rows.reset_index().sort_values(["s", "o"], ascending=[False, True]).head(k)
-    return [(i + 1, r.o, float(r.s), float(r.lb), float(r.ub), int(r.n)) for i, r in enumerate(rows.itertuples())]
+    names, owner = np.unique(np.array(objects, object), return_inverse=True)
+    if d.shape[1] == 2:
+        every = np.zeros(len(p), np.int64)
+        mass = p * (dominated_sums(every, d[:, 0], d[:, 1], p) - dominated_sums(owner, d[:, 0], d[:, 1], p))
+    else:
+        mass = np.zeros(len(p))
+        for i in range(len(p)):  # a row of the comparison at a time: memory is linear in the window
+            wins = (d[i] <= d).all(1) & (d[i] < d).any(1) & (owner != owner[i])
+            mass[i] = p[i] * p[wins].sum()
+    n = len(names)
+    score, total, count = np.maximum(np.bincount(owner, mass, n), 0.0), np.bincount(owner, p, n), np.bincount(owner, minlength=n)
+    best = np.zeros(n)
+    np.maximum.at(best, owner, p)
+    lb, ub = np.maximum(score - best, 0.0), np.minimum(p.sum() - total, score + best)
+    shown = score.round(6)
+    order = np.lexsort((np.arange(n), -shown))[:k]
+    return [(i + 1, names[o], float(shown[o]), float(lb[o]), float(ub[o]), int(count[o])) for i, o in enumerate(order)]
 
 
 class Window:
-    """The live instances of one query."""
+    """The live instances of one query. Instances leave by a heap of their times, so an event costs what it changes."""
 
     def __init__(self, window_ms: int, late: str, state: tuple | None):
         self.window_ms, self.late = window_ms, late
@@ -51,15 +61,31 @@ class Window:
         if state:
             self.latest = state[0]
             self.rows = {(o, i): (t, p, tuple(a)) for o, i, t, p, a in zip(*state[1:], strict=True)}
+        self.times = [(v[0], k) for k, v in self.rows.items()]
+        heapq.heapify(self.times)
+        self.of_object: dict[str, set] = {}
+        for k in self.rows:
+            self.of_object.setdefault(k[0], set()).add(k)
+
+    def _remove(self, key: tuple) -> None:
+        del self.rows[key]
+        self.of_object[key[0]].discard(key)
 
     def apply(self, object_id: str, instance_id: str, time: int, op: str, p: float, attrs: tuple[float, ...]) -> None:
         self.latest = max(self.latest, time)
         floor = self.latest - self.window_ms
-        self.rows = {k: v for k, v in self.rows.items() if v[0] >= floor}
+        while self.times and self.times[0][0] < floor:
+            t, key = heapq.heappop(self.times)
+            if key in self.rows and self.rows[key][0] == t:
+                self._remove(key)
         if op == "DELETE":
-            self.rows = {k: v for k, v in self.rows.items() if k[0] != object_id}
+            for key in list(self.of_object.get(object_id, ())):
+                self._remove(key)
         elif time >= floor or self.late == "keep-once":
-            self.rows[object_id, instance_id] = (time, p, attrs)
+            key = (object_id, instance_id)
+            self.rows[key] = (time, p, attrs)
+            self.of_object.setdefault(object_id, set()).add(key)
+            heapq.heappush(self.times, (time, key))
 
     def state(self) -> tuple:
         keys, values = list(self.rows), list(self.rows.values())
@@ -69,6 +95,16 @@ class Window:
         return ranking([o for o, _ in self.rows], np.array([v[1] for v in self.rows.values()]), np.array([v[2] for v in self.rows.values()]), point, k)
 
 
+def imputed(events: DataFrame, dims: int, chosen: DataFrame, buckets: DataFrame) -> DataFrame:
+    """A stream of events (attributes array, null where missing) as instances by a synopsis that was trained before;
+    deletes keep their identity. The synopsis is a static table, small by its definition."""
+    flat = events.select("*", *[F.col("attributes")[d].alias(f"a{d}") for d in range(dims)]).drop("attributes", "missing")
+    offered = impute.with_candidates(flat, chosen, buckets, dims)
+    done = impute.expand(offered, [F.col(f"cand{d}") for d in range(dims)]).drop(*[f"cand{d}" for d in range(dims)])
+    both = impute.with_deletes(done, flat, dims)
+    return both.select(*[c for c in both.columns if c not in {f"a{d}" for d in range(dims)}], F.array(*[F.col(f"a{d}") for d in range(dims)]).alias("attributes"))
+
+
 def live_rankings(events: DataFrame, points: dict[str, list[float]], k: int = 10, window_ms: int = 30_000, delay_ms: int = 1000, emit: str = "event", late: str = "keep-once") -> DataFrame:
     """Rankings of a stream of imputed instances (object_id, instance_id, query_id, event_time TIMESTAMP,
     op_type, p, attributes); events of unknown queries give nothing."""
@@ -81,12 +117,12 @@ def live_rankings(events: DataFrame, points: dict[str, list[float]], k: int = 10
         if state.hasTimedOut:
             state.remove()
             return
-        for batch in batches:
-            for r in batch.itertuples():
-                attrs = tuple(map(float, r.attributes)) if r.attributes is not None else ()
-                window.apply(r.object_id, r.instance_id, int(r.millis), r.op_type, float(r.p), attrs)
-                if emit == "event":
-                    out += [(key[0], int(r.millis), *row) for row in window.top(point, k)]
+        rows = [r for batch in batches for r in batch[["millis", "object_id", "instance_id", "op_type", "p", "attributes"]].itertuples(index=False)]
+        for r in sorted(rows, key=lambda r: (r.millis, r.object_id, r.instance_id or "")):
+            attrs = tuple(map(float, r.attributes)) if r.attributes is not None and r.op_type != "DELETE" else ()
+            window.apply(r.object_id, r.instance_id, int(r.millis), r.op_type, float(r.p) if attrs else 0.0, attrs)
+            if emit == "event":
+                out += [(key[0], int(r.millis), *row) for row in window.top(point, k)]
         if emit != "event":
             out += [(key[0], window.latest, *row) for row in window.top(point, k)]
         state.update(window.state())
