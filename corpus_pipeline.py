@@ -1,6 +1,8 @@
 """A corpus from raw documents to token ids: five stages, each an operator of orthant.llm.
 
-Each stage reads what its predecessor wrote. All but the last give back the columns of documents.
+Each stage reads what its predecessor wrote. All but the last give back the columns of documents, further
+columns of whatever name among them. No rows in give no rows out. What a stage does with nulls, ties and repeated rows
+is said with the stage; ids may be null or repeat everywhere.
 """
 
 from __future__ import annotations
@@ -14,27 +16,32 @@ from orthant.llm.queries import read, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null, empty or short text fails; repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
+    """One document, that of the smallest id, of each group of near duplicates. Of repeated rows (same id and text) one
+    stays; different texts of one id are documents of their own; null ids come after all others; texts without a word stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A null or empty text holds none; null and empty items are in none; repeated
+    rows are judged alike."""
     return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; of the document at the edge of its source's last pass a text of
+    the words that are taken once more. A null source is a source; documents without a word stay once; repeated rows
+    share what is taken of them."""
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the token files."""
+    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the token files: null ids first, rows of one id
+    in an order of their texts. A null or empty text is an end id."""
     return tokens.token_digests(docs, tokenizer_path())
 
 
