@@ -59,9 +59,12 @@ def false_prunes(marked: DataFrame, exact_top: DataFrame) -> DataFrame:
 
 
 def traces(marked: DataFrame, pruned_name: str = "pruned-by-dscp", limit: int = 25) -> DataFrame:
-    """The decision for the first objects of each query, by id."""
+    """The decision for the first objects of each query, by id; what the index skipped (``skipped``) is told apart."""
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("object_id"))
-    return marked.withColumn("decision", F.when(F.col("survives"), "survived").otherwise(pruned_name)).withColumn("n", first).where(F.col("n") <= limit).drop("n")
+    decision = F.when(F.col("survives"), "survived").otherwise(pruned_name)
+    if "skipped" in marked.columns:
+        decision = F.when(F.col("skipped"), "pruned-by-index").otherwise(decision)
+    return marked.withColumn("decision", decision).withColumn("n", first).where(F.col("n") <= limit).drop("n")
 
 
 def emission_counts(inst: DataFrame, marked: DataFrame) -> DataFrame:

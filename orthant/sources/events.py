@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthant.operators.instances import SHARED_QUERY
@@ -44,9 +44,9 @@ def _suffixed(names: list[str], prefix: str) -> list[str]:
     return [n for _, n in sorted(found)]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
     """Event rows of CSV files with a header (names in any case, # lines skipped): the known columns, attributes
-    a0.. (columns a<number>, else all after opType or eventTime), query point q0.. and box mbr_lo0.., mbr_hi0.. ."""
+    a0.. (columns a<number>, else all after opType or eventTime), query point q0.. and box mbr_lo0.., mbr_hi0.. . With ``place`` a column row_place orders rows as they lie in the files."""
     raw = spark.read.option("header", True).option("comment", "#").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     by_name = {n.lower(): n for n in raw.columns}
     get = lambda name, default: F.col(f"`{by_name[name]}`") if name in by_name else F.lit(default)
@@ -59,13 +59,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     out += [number(F.col(f"`{n}`")).alias(f"a{d}") for d, n in enumerate(attributes)]
     for prefix, name in (("queryA", "q"), ("mbrMin", "mbr_lo"), ("mbrMax", "mbr_hi")):
         out += [number(F.col(f"`{n}`")).alias(f"{name}{d}") for d, n in enumerate(_suffixed(raw.columns, prefix))]
+    if place:  # rows of one piece of a file are read in order by one task
+        out.append(F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("row_place"))
     return raw.select(*out)
 
 
 def queries_of(rows: DataFrame, dims: int, order: str = "instance_id") -> DataFrame:
-    """The query point of each query: that of its first row."""
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy(order))
-    return rows.withColumn("_r", first).where("_r = 1").select("query_id", *[f"q{d}" for d in range(dims)])
+    """The query point of each query: that of its first row by ``order`` (``row_place`` of read_csv is the files' order)."""
+    first = rows.groupBy("query_id").agg(F.min_by(F.struct(*[f"q{d}" for d in range(dims)]), order).alias("_q"))
+    return first.select("query_id", "_q.*")
 
 
 def read_query_set(spark: SparkSession, path: str) -> DataFrame:

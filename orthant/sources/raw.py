@@ -18,8 +18,8 @@ from .generators import region_objects, smartphone_objects, synthetic_events
 GAS_BASE_MS = 1_700_000_000_000
 
 
-def zip_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """file, line_no, line of the members (also of ZIP files within) whose names end so."""
+def zip_lines(spark: SparkSession, path: str, suffix: str, heads: bool = False) -> DataFrame:
+    """file, line_no, line of the members (also of ZIP files within) whose names end so; of ``heads`` only the first lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -41,6 +41,8 @@ def zip_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
                     for line in lines:
                         part.append((name, n, line.rstrip("\r\n")))
                         n += 1
+                        if heads:
+                            break
                         if len(part) == 20_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=["file", "line_no", "line"])
                             part = []
@@ -64,21 +66,30 @@ def read_intel(spark: SparkSession, path: str, max_events: int | None = None) ->
     return out.orderBy("event_time", "object_id").limit(max_events) if max_events else out
 
 
-def read_pump(spark: SparkSession, path: str) -> DataFrame:
-    """CSV in a ZIP: a timestamp, all columns sensor_*, and a status that names the query."""
-    lines = zip_lines(spark, path, ".csv")
-    header = lines.where("line_no = 0").first()["line"].split(",")
+def _first(rows: DataFrame, max_events: int | None) -> DataFrame:
+    """The first rows by file and line."""
+    return rows.orderBy("file", "line_no").limit(max_events) if max_events else rows
+
+
+def read_pump(spark: SparkSession, path: str, max_events: int | None = None) -> DataFrame:
+    """CSV in a ZIP: a timestamp, all columns sensor_*, and a status that names the query. The members of an archive
+    must have one header; no member is an error."""
+    headers = [r["line"] for r in zip_lines(spark, path, ".csv", heads=True).select("line").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError(f"{path} has {'no' if not headers else 'more than one'} header")
+    header = headers[0].split(",")
+    lines = _first(zip_lines(spark, path, ".csv").where("line_no > 0 and line <> ''"), max_events)
     parts = F.split("line", ",", -1)
     sensors = [i for i, n in enumerate(header) if n.strip().lower().startswith("sensor_")]
     time = F.try_to_timestamp(parts[header.index("timestamp")], F.lit("yyyy-MM-dd HH:mm:ss"))
     status = F.lower(F.trim(parts[len(header) - 1]))
-    return lines.where("line_no > 0 and line <> ''").select(*_event(F.concat(F.lit("pump-"), F.col("line_no").cast("string")), F.concat(F.lit("pump-"), status), time, [number(parts[i]) for i in sensors]))
+    return lines.select(*_event(F.concat(F.lit("pump-"), F.col("line_no").cast("string")), F.concat(F.lit("pump-"), status), time, [number(parts[i]) for i in sensors]))
 
 
-def read_gas(spark: SparkSession, path: str) -> DataFrame:
+def read_gas(spark: SparkSession, path: str, max_events: int | None = None) -> DataFrame:
     """White-space tables (.dat) in a ZIP in a ZIP: id, hours, ten readings."""
     parts = F.split(F.trim("line"), r"\s+")
-    rows = zip_lines(spark, path, ".dat").where((F.size(parts) >= 12) & parts[0].rlike(r"^\d+$"))
+    rows = _first(zip_lines(spark, path, ".dat").where((F.size(parts) >= 12) & parts[0].rlike(r"^\d+$")), max_events)
     time = F.timestamp_millis((F.lit(GAS_BASE_MS) + F.round(parts[1].try_cast("double") * 3_600_000)).cast("long"))
     return rows.select(*_event(F.concat(F.lit("gas-"), parts[0], F.lit("-"), F.col("line_no").cast("string")), F.lit("q0"), time, [number(parts[i]) for i in range(2, 12)]))
 
@@ -96,6 +107,11 @@ def all_raw(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def read_all(spark: SparkSession, intel: str, pump: str, gas: str, max_events: int | None = None) -> DataFrame:
+    """The three raw archives as one table; ``max_events`` holds for each."""
+    return all_raw(read_intel(spark, intel, max_events), read_pump(spark, pump, max_events), read_gas(spark, gas, max_events))
+
+
 def read_shapes(spark: SparkSession, path: str, widen: float = 1.0) -> DataFrame:
     """Boxes of the polylines (3) and polygons (5) of .shp files, in their own units; an axis of no extent is
     widened."""
@@ -125,7 +141,7 @@ def topics(name: str, override: str | None = None, prefix: str = "events") -> di
     return {"mqtt": f"{prefix}/raw/{name}", "kafka": override or f"{prefix}.raw.{name}"}
 
 
-PROVIDERS: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic_events, "csv": read_csv, "intel": read_intel, "pump": read_pump, "gas": read_gas, "regions": region_objects, "smartphone": smartphone_objects, "shapes": read_shapes}
+PROVIDERS: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic_events, "csv": read_csv, "intel": read_intel, "pump": read_pump, "gas": read_gas, "all": read_all, "regions": region_objects, "smartphone": smartphone_objects, "shapes": read_shapes}
 
 
 def provider(name: str | None) -> Callable[..., DataFrame]:

@@ -11,6 +11,7 @@ clears the state when the watermark passes latest + window; it gives no ranking.
 from __future__ import annotations
 
 import heapq
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,15 +134,23 @@ def live_rankings(events: DataFrame, points: dict[str, list[float]], k: int = 10
     return timed.groupBy("query_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def kafka_events(spark: SparkSession, servers: str, topics: str, starting: str = "earliest") -> DataFrame:
-    """The decoded events of Kafka topics, with topic, partition and offset."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting).option("failOnDataLoss", "true").load()
+def kafka_options(servers: str, topics: str | list[str], starting: str = "earliest", bounded: bool = False) -> dict[str, str]:
+    """Options of a Kafka source; a bounded one ends at what is the latest offset when it is planned."""
+    named = topics if isinstance(topics, str) else ",".join(topics)
+    options = {"kafka.bootstrap.servers": servers, "subscribe": named, "startingOffsets": starting, "failOnDataLoss": "true"}
+    return options | {"endingOffsets": "latest"} if bounded else options
+
+
+def kafka_events(spark: SparkSession, servers: str, topics: str | list[str], starting: str = "earliest", bounded: bool = False) -> DataFrame:
+    """The decoded events of Kafka topics, with topic, partition and offset: a stream, or a bounded table."""
+    reader = spark.read if bounded else spark.readStream
+    raw = reader.format("kafka").options(**kafka_options(servers, topics, starting, bounded)).load()
     return decode(raw.select("topic", "partition", "offset", F.col("value").cast("string").alias("value")), "value")
 
 
-def snapshot(stream: DataFrame, folder: str, timeout_s: int = 120) -> DataFrame:
+def snapshot(stream: DataFrame, folder: str, timeout_s: int = 120, expected: int | None = None) -> DataFrame:
     """All that is available now, landed as a table once (a repeated run adds only what is new), to be ranked
-    as a batch; an error if nothing is there."""
+    as a batch; an error if nothing is there, a warning if fewer events than expected are. Nothing is cut."""
     writing = stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     if not writing.awaitTermination(timeout_s):
         writing.stop()
@@ -149,4 +158,6 @@ def snapshot(stream: DataFrame, folder: str, timeout_s: int = 120) -> DataFrame:
     landed = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
     if landed.isEmpty():
         raise ValueError("the stream has no events")
+    if expected is not None and (found := landed.count()) < expected:
+        warnings.warn(f"the stream has {found} events of {expected} expected ones", RuntimeWarning, stacklevel=2)
     return landed
