@@ -6,8 +6,8 @@ dominance; with roles, equal points count if the asking one has the lower role,
 
 1. Range partitions by (group, x, y, role) are strips of x; within one, later and higher points are summed by
    merging halves (numpy, all groups and points of a strip at once).
-2. Range partitions by (group, y, x, role) are strips of y; within one, points of later strips of x are
-   summed in the same way.
+2. Only groups at an edge of a strip of x can lie in several; all others are done. Range partitions of the
+   former by (group, y, x, role) are strips of y; within one, points of later strips of x are summed in the same way.
 3. Whole cells that are later in both kinds of strips are summed by two running sums over the cells.
 
 Strips are cut by the points themselves, so ties in one coordinate don't make one large. Equal points of a
@@ -102,14 +102,17 @@ def in_y_strip(table: pa.Table, keys: list[str], weights: list[str]) -> list[np.
     return out
 
 
-def _stripped(points: DataFrame, strips: int, keys: list[str], order: list[str], name: str, weights: list[str], within) -> DataFrame:
-    """points with the number of their strip as ``name`` and the sums added to sum_w of each weight."""
+def _stripped(points: DataFrame, strips: int, keys: list[str], order: list[str], name: str, weights: list[str], within, edges: bool = False) -> DataFrame:
+    """points with the number of their strip as ``name`` and the sums added to sum_w of each weight. With ``edges``
+    also ``edge``: whether the group is the first or the last of its strip."""
     ship(points.sparkSession.sparkContext)
     had = set(points.columns)
     dealt = points.repartitionByRange(strips, *keys, *order).sortWithinPartitions(*keys, *order).withColumn(name, F.spark_partition_id())
     for w in weights:
         if f"sum_{w}" not in had:
             dealt = dealt.withColumn(f"sum_{w}", F.lit(0.0))
+    if edges:
+        dealt = dealt.withColumn("edge", F.lit(False))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in dealt.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +122,9 @@ def _stripped(points: DataFrame, strips: int, keys: list[str], order: list[str],
         for w, got in zip(weights, within(table, keys, weights), strict=True):
             at = table.column_names.index(f"sum_{w}")
             table = table.set_column(at, f"sum_{w}", pa.array(_column(table, f"sum_{w}") + got))
+        if edges:
+            group = _groups(table, keys)
+            table = table.set_column(table.column_names.index("edge"), "edge", pa.array((group == group[0]) | (group == group[-1])))
         yield from table.to_batches(max_chunksize=10_000)
 
     return dealt.mapInArrow(run, schema)
@@ -132,8 +138,9 @@ def masses(points: DataFrame, keys: list[str], folder: str, name: str, weights:
     strips = max(1, min(MAX_STRIPS, -(-points.count() // STRIP_POINTS)))
     spark = points.sparkSession
     strips = max(strips, min(spark.sparkContext.defaultParallelism, MAX_STRIPS))
-    first = materialize(_stripped(points, strips, keys, ["x", "y", "role"], "cx", weights, in_x_strip), folder, f"{name}-x")
-    second = materialize(_stripped(first, strips, keys, ["y", "x", "role"], "cy", weights, in_y_strip), folder, f"{name}-y")
+    first = materialize(_stripped(points, strips, keys, ["x", "y", "role"], "cx", weights, in_x_strip, edges=True), folder, f"{name}-x")
+    done = first.where("not edge").select(*columns, *[f"sum_{w}" for w in weights])
+    second = materialize(_stripped(first.where("edge").drop("edge"), strips, keys, ["y", "x", "role"], "cy", weights, in_y_strip), folder, f"{name}-y")
     cells = second.groupBy(*keys, "cx", "cy").agg(*[F.sum(w).alias(w) for w in weights])
     # Only groups of several strips of both kinds have cells beyond others.
     wide = cells.groupBy(*keys).agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).where("x0 < x1 and y0 < y1").select(*keys)
@@ -142,4 +149,5 @@ def masses(points: DataFrame, keys: list[str], folder: str, name: str, weights:
     beyond = lambda fixed, moving: Window.partitionBy(*keys, fixed).orderBy(F.desc(moving)).rowsBetween(Window.unboundedPreceding, -1)
     above = grid.select(*keys, "cx", "cy", *[F.coalesce(F.sum(w).over(beyond("cx", "cy")), F.lit(0.0)).alias(f"above_{w}") for w in weights])
     full = above.select(*keys, "cx", "cy", *[F.coalesce(F.sum(f"above_{w}").over(beyond("cy", "cx")), F.lit(0.0)).alias(f"full_{w}") for w in weights])
-    return second.join(full, [*keys, "cx", "cy"], "left").select(*columns, *[(F.col(f"sum_{w}") + F.coalesce(f"full_{w}", F.lit(0.0))).alias(f"sum_{w}") for w in weights])
+    several = second.join(full, [*keys, "cx", "cy"], "left").select(*columns, *[(F.col(f"sum_{w}") + F.coalesce(f"full_{w}", F.lit(0.0))).alias(f"sum_{w}") for w in weights])
+    return done.union(several)
