@@ -25,7 +25,7 @@ from orthant.sources import raw
 from orthant.storage import materialize, shared_dir
 from orthant.streaming import live
 
-from . import engine, evidence
+from . import engine, evidence, suites
 from .oracles import BASE2, BOUNDS, BOXES, CENTRES, EVENTS, EXACT2, HIDDEN, IMPROVED, ITEMS, MET, NODE_DIST, PAIRS, POINTS, TAU, TREATMENT_NAMES, dist2, dom, q, scored, six
 from .queries import K, PARTS, QUERY_POINTS, d1, query_points, table, u1, u2, user_events
 
@@ -256,6 +256,30 @@ def experiment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.experiment_matrix(spark, ["u1"], list(engine.TREATMENTS), repetitions=2).drop("run")
 
 
+def suite_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of the ablation of the largest suite."""
+    return suites.plan(spark, "road-full-20q", "ablation", repetitions=2, allow_full=True).drop("run")
+
+
+def rendered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing saves, for vectors of odd and even ids, as the lines of three kinds of files."""
+    rows = _labelled(spark, sf_dir).withColumn("query_id", F.concat(F.lit("q"), F.expr("cast(instance_id as long) % 2"))).withColumn("p", F.lit(1.0))
+    marked = score.objects_of(rows).withColumn("survives", F.lit(True))
+    found = suites.reductions(B.emission_counts(rows, marked), "query_id", "baseline_emissions", ["aes_emissions"])
+    out = None
+    for kind in ("csv", "markdown", "latex"):
+        one = suites.rendered(found, kind, "query_id", "baseline_emissions", ["aes_emissions"]).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def run_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run that lost its errors."""
+    rows = table(spark, sf_dir, "events").withColumn("query_id", F.concat(F.lit("q"), F.col("event_id") % 2))
+    kept = rows.where("event_type <> 'error'")
+    return suites.watched(rows, kept, kept.select("query_id", "user_id").distinct())
+
+
 def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What doesn't depend on the random numbers of generated events."""
     rows = G.synthetic_events(spark, 500, 4, 2)
@@ -278,7 +302,7 @@ def generated_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (first_query_points, sidecar_query_set, intel_scan, pump_scan, gas_scan, all_raw_scan, road_boxes, results_csv, run_archive, text_report, snapshot_ingest, live_stream_topk, synopsis_summary, indexed_gate, hgtp_traces, indexed_traces, emission_records, emission_records_packed, node_emission_records, ablation_invariants, treatment_comparison, experiment_matrix, synthetic_profile, generated_objects)
+    own = (first_query_points, sidecar_query_set, intel_scan, pump_scan, gas_scan, all_raw_scan, road_boxes, results_csv, run_archive, text_report, snapshot_ingest, live_stream_topk, synopsis_summary, indexed_gate, hgtp_traces, indexed_traces, emission_records, emission_records_packed, node_emission_records, ablation_invariants, treatment_comparison, experiment_matrix, suite_plan, rendered_tables, run_monitor, synthetic_profile, generated_objects)
     return {f.__name__: f for f in own}
 
 
@@ -306,6 +330,20 @@ heavy as (select part, leaf as node, max(mass) as heaviest from leaves group by
 kth as (select query_id, lb as tau from bounds qualify row_number() over (partition by query_id order by lb desc, object_id) = 10),
 skipped as (select r.query_id, l.object_id from reached r join heavy using (part, node) join leaves l on l.part = r.part and l.leaf = r.node join kth using (query_id) where {six('leaf_ub * heaviest')} < tau)"""
 
+RENDERED = r"""with
+n as (select 'q' || (vec_id % 2) as query_id, label, count(*) as n_inst from embeddings group by all),
+o as (select *, count(*) over (partition by query_id, label % 4) as part_objects from n),
+t as (select query_id, sum(n_inst * (part_objects - 1))::bigint as b, sum(n_inst)::bigint as a from o group by all),
+r as (select *, row_number() over (order by query_id) as i, case when b <> 0 then round(round((b - a) / b * 100, 9)::decimal(38, 9), 2)::double end as pct from t),
+s as (select *, format('{:,}', b) as bt, format('{:,}', a) || coalesce(' (' || printf('%.2f', pct), '') as saved from r)
+select 'csv' as kind, i + 1 as line_no, query_id || ',' || b || ',' || a || ',' || coalesce(pct::varchar, '') as value from s
+union all select 'csv', 1, 'query_id,baseline_emissions,aes_emissions,aes_emissions_pct'
+union all select 'markdown', i + 2, '| ' || query_id || ' | ' || bt || ' | ' || saved || case when pct is null then '' else '%)' end || ' |' from s
+union all select 'markdown', 1, '| query_id | baseline_emissions | aes_emissions |'
+union all select 'markdown', 2, '| --- | ---: | ---: |'
+union all select 'latex', i + 4, query_id || ' & ' || bt || ' & ' || saved || case when pct is null then '' else '\%)' end || ' \\' from s
+union all select 'latex', line_no, value from (values (1, '\begin{tabular}{lrr}'), (2, '\hline'), (3, 'query\_id & baseline\_emissions & aes\_emissions \\'), (4, '\hline'), (1099511627776, '\hline'), (1099511627777, '\end{tabular}')) f(line_no, value)"""
+
 
 def oracle_sql() -> dict[str, str]:
     treated = q(*EXACT2, BOUNDS, TAU, CENTRES, IMPROVED, select="{}")
@@ -336,6 +374,9 @@ def oracle_sql() -> dict[str, str]:
         "ablation_invariants": treated.format(f"select query_id, {of('aes-only', 'emissions')} <= {of('baseline', 'emissions')} as aes_emits_no_more, {of('aes-dscp', 'emissions')} <= {of('dscp-only', 'emissions')} as aes_emits_no_more_with_dscp, {of('aes-only', 'pruned')} = {of('baseline', 'pruned')} and {of('aes-dscp', 'pruned')} = {of('dscp-only', 'pruned')} as aes_prunes_the_same, {of('dscp-only', 'pruned')} >= {of('baseline', 'pruned')} as dscp_prunes_no_less, true as no_false_prunes from metrics group by query_id"),
         "treatment_comparison": treated.format(f"select treatment, m.query_id, emissions, round(round((b.base - emissions) / b.base * 100, 9)::decimal(38, 9), 2)::double as reduction_pct from metrics m join (select query_id, emissions as base from metrics where treatment = 'baseline') b using (query_id) where treatment in ({four})"),
         "experiment_matrix": f"select 'u1' as dataset, algorithm, k, partitions, repetition from (values {names}) a(algorithm), (values (5), (10), (20)) k(k), (values (2), (5), (8), (10)) p(partitions), (values (1), (2)) r(repetition)",
+        "suite_plan": f"select 'bangladesh-road-paper' as dataset, algorithm, 10 as k, 4 as partitions, repetition, 'bangladesh-road-queries-20' as query_set from (select unnest([{four}]) as algorithm), (values (1), (2)) r(repetition)",
+        "rendered_tables": RENDERED,
+        "run_monitor": "select 'q' || (event_id % 2) as query_id, count(*) as expected, count(*) filter (where event_type <> 'error') as arrived, count(distinct user_id) filter (where event_type <> 'error') as answers, round(count(*) filter (where event_type <> 'error') / count(*), 6) as ingestion, case when bool_and(event_type <> 'error') then 1e0 else 0e0 end as processing, case when not bool_and(event_type <> 'error') then count(*) filter (where event_type <> 'error') || ' of ' || count(*) || ' expected rows arrived' end as issue from events group by all",
         "synthetic_profile": f"select 'q' || (i % 2) as query_id, count(*) as n_rows, count(*) as n_objects, ({GAS_START} + min(i) * 20)::bigint as first_ms, ({GAS_START} + max(i) * 20)::bigint as last_ms, true as in_range, true as rate_held from range(1000) t(i) group by all",
         "generated_objects": "select 300::bigint as n_objects, 0::bigint as n_bad, 0::bigint as n_outside, 5::bigint as n_points, kind from (values ('uniform'), ('gaussian'), ('zipf'), ('smartphone')) t(kind)",
     }

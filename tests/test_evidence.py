@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orthant.operators import bounds, rtree
 from orthant.operators.instances import with_distances
-from orthant.plans import engine, evidence
+from orthant.plans import engine, evidence, suites
 from orthant.sources import events, raw
 from orthant.sources.generators import region_objects
 from orthant.streaming import live
@@ -108,3 +108,37 @@ def test_bounded_reads(spark, tmp_path):
     stream = spark.readStream.schema("value string").text(str(tmp_path / "in"))
     with pytest.warns(RuntimeWarning, match="2 events of 3"):
         assert live.snapshot(stream, str(tmp_path / "out"), expected=3).count() == 2
+
+
+def test_suites(spark):
+    runs = suites.plan(spark, "smartphone", "paired", repetitions=3)
+    assert {(r.dataset, r.algorithm, r.query_set) for r in runs.collect()} == {("smartphone-paper", "baseline", None), ("smartphone-paper", "aes-dscp", None)} and runs.count() == 6
+    with pytest.raises(ValueError, match="large"):
+        suites.plan(spark, "road-full", "ablation")
+    with pytest.raises(ValueError, match="setups"):
+        suites.plan(spark, "smartphone", "other")
+
+
+def test_rendered_tables(spark):
+    rows = spark.createDataFrame([("a_1|x", 1200, 300), (None, 0, 5), ('b,"c"', None, 7)], "name string, base long, packed long")
+    table = suites.reductions(rows, "name", "base", ["packed"])
+    lines = lambda kind, t=table: [r.value for r in suites.rendered(t, kind, "name", "base", ["packed"]).orderBy("line_no").collect()]
+    assert lines("csv") == ["name,base,packed,packed_pct", "-,0,5,", "a_1|x,1200,300,75.0", '"b,""c""",,7,']
+    assert lines("markdown") == ["| name | base | packed |", "| --- | ---: | ---: |", "| - | 0 | 5 |", "| a_1\\|x | 1,200 | 300 (75.00%) |", '| b,"c" | - | 7 |']
+    assert lines("latex") == ["\\begin{tabular}{lrr}", "\\hline", "name & base & packed \\\\", "\\hline", "- & 0 & 5 \\\\", "a\\_1|x & 1,200 & 300 (75.00\\%) \\\\", 'b,"c" & - & 7 \\\\', "\\hline", "\\end{tabular}"]
+    assert lines("csv", table.limit(0)) == ["name,base,packed,packed_pct"]
+    with pytest.raises(ValueError):
+        suites.rendered(table, "pdf", "name", "base", [])
+    drawn = suites.bars("a < b", {"baseline": 200, "packed": 50})
+    assert drawn.count("<rect") == 2 and "a &lt; b" in drawn and "50 (-75.0%)" in drawn and suites.bars("none", {}).endswith("</svg>\n")
+
+
+def test_watched_and_checked(spark):
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "query_id string")
+    got = {r.query_id: tuple(r)[1:] for r in suites.watched(ids("a", "a", "b"), ids("a", "b", "c"), ids("a", "b", "d")).collect()}
+    assert got["a"] == (2, 1, 1, 0.5, 0.0, "1 of 2 expected rows arrived") and got["b"] == (1, 1, 1, 1.0, 1.0, None)
+    assert got["c"] == (0, 1, 0, None, None, None) and got["d"] == (0, 0, 1, None, 1.0, None)
+    measures = spark.createDataFrame([("arrived", 5.0), ("answers", None)], "measure string, got double")
+    held = {r.measure: r.held for r in suites.checked(measures, {"arrived": 5, "answers": 1, "jobs": 1}).collect()}
+    assert held == {"arrived": True, "answers": False, "jobs": False}
+    assert not suites.checked(measures, {"arrived": 1_000_005}).first().held
